@@ -8,6 +8,9 @@ from importlib import import_module
 MODULES = {
     "op2_packing": "op2_packing",
     "op4_bpe": "op4_bpe",
+    "op5_line_dedup": "op5_line_dedup",
+    "op8_simhash": "op8_simhash",
+    "op9_sharding": "op9_sharding",
 }
 
 
