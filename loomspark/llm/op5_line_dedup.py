@@ -31,34 +31,34 @@ MIN_PAGES = 5
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The lines to drop: _host, line, pages, host_pages."""
-    pages = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("_host"), F.col(text).alias("_text"))
-    totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("host_pages"))
+    """The lines to drop: host (as __loom_host), line, pages, host_pages."""
+    pages = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("__loom_host"), F.col(text).alias("_text"))
+    totals = pages.groupBy("__loom_host").agg(F.count(F.lit(1)).alias("host_pages"))
     over = (F.col("pages") >= min_pages) & (F.col("pages") > F.col("host_pages") * max_ratio)
     lines = F.filter(F.array_distinct(F.transform(F.split("_text", "\n"), lambda x: F.trim(x))), lambda x: x != "")
-    each = pages.select("_host", F.explode(lines).alias("line")).withColumn("_hash", F.xxhash64("line"))
+    each = pages.select("__loom_host", F.explode(lines).alias("line")).withColumn("__loom_hash", F.xxhash64("line"))
     # A pair of pages * ratio < min_pages cannot pass, so the first count needs no totals to shed nearly all pairs.
-    hashes = each.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    maybe = durable(hashes.join(totals, "_host").filter(over).select("_host", "_hash", "host_pages"), "boilerplate-hashes")
-    exact = each.join(broadcast_if_small(maybe, maybe.count(), 48), ["_host", "_hash"])
-    return exact.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("pages"), F.first("host_pages").alias("host_pages")).filter(over)
+    hashes = each.groupBy("__loom_host", "__loom_hash").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+    maybe = durable(hashes.join(totals, "__loom_host").filter(over).select("__loom_host", "__loom_hash", "host_pages"), "boilerplate-hashes")
+    exact = each.join(broadcast_if_small(maybe, maybe.count(), 48), ["__loom_host", "__loom_hash"])
+    return exact.groupBy("__loom_host", "line").agg(F.count(F.lit(1)).alias("pages"), F.first("host_pages").alias("host_pages")).filter(over)
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with the boilerplate lines taken out of ``text``, and ``n_dropped`` (lines taken out)."""
-    sets = boilerplate(docs, host, text, max_ratio, min_pages).groupBy("_host").agg(F.collect_set("line").alias("_drop"), F.sum(F.octet_length("line")).alias("_bytes"))
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, count: str = "n_dropped") -> DataFrame:
+    """``docs`` with the boilerplate lines taken out of ``text``, and their number as ``count``, which replaces a column of that name."""
+    sets = boilerplate(docs, host, text, max_ratio, min_pages).groupBy("__loom_host").agg(F.collect_set("line").alias("__loom_drop"), F.sum(F.octet_length("line")).alias("__loom_bytes"))
     sets = durable(sets, "boilerplate-lines")
-    size = sets.agg(F.coalesce(F.sum("_bytes"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    columns = docs.columns
-    keyed = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("\x00")))
-    joined = keyed.join(broadcast_if_small(sets.drop("_bytes"), 1, size["b"] + 64 * size["n"]), "_host", "left")
+    size = sets.agg(F.coalesce(F.sum("__loom_bytes"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    columns = [c for c in docs.columns if c != count]
+    keyed = docs.withColumn("__loom_host", F.coalesce(F.col(host).cast("string"), F.lit("\x00")))
+    joined = keyed.join(broadcast_if_small(sets.drop("__loom_bytes"), 1, size["b"] + 64 * size["n"]), "__loom_host", "left")
     # One interpreted pass over the lines: a page without a set, or without text, is left as it is.
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_drop"), F.trim(x)))
-    touched = F.col("_drop").isNotNull() & F.col(text).isNotNull()
-    out = joined.withColumn("_kept", F.when(touched, kept))
-    cleaned = F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col(text))
-    dropped = F.when(touched, F.size(F.split(text, "\n")) - F.size("_kept")).otherwise(F.lit(0))
-    return out.withColumn("n_dropped", dropped).withColumn(text, cleaned).select(*columns, "n_dropped")
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("__loom_drop"), F.trim(x)))
+    touched = F.col("__loom_drop").isNotNull() & F.col(text).isNotNull()
+    out = joined.withColumn("__loom_kept", F.when(touched, kept))
+    cleaned = F.when(touched, F.array_join("__loom_kept", "\n")).otherwise(F.col(text))
+    dropped = F.when(touched, F.size(F.split(text, "\n")) - F.size("__loom_kept")).otherwise(F.lit(0))
+    return out.withColumn(count, dropped).withColumn(text, cleaned).select(*columns, count)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

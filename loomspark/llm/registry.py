@@ -7,8 +7,10 @@ from importlib import import_module
 #: Query name to the module that holds a function of that name.
 MODULES = {
     "op2_packing": "op2_packing",
+    "op3_toxicity": "op3_toxicity",
     "op4_bpe": "op4_bpe",
     "op5_line_dedup": "op5_line_dedup",
+    "op7_quality": "op7_quality",
     "op8_simhash": "op8_simhash",
     "op9_sharding": "op9_sharding",
 }
