@@ -10,6 +10,7 @@ MODULES = {
     "op3_toxicity": "op3_toxicity",
     "op4_bpe": "op4_bpe",
     "op5_line_dedup": "op5_line_dedup",
+    "op6_ann": "op6_ann",
     "op7_quality": "op7_quality",
     "op8_simhash": "op8_simhash",
     "op9_sharding": "op9_sharding",
