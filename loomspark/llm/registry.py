@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name to the module that holds a function of that name.
 MODULES = {
+    "op1_html": "op1_html",
     "op2_packing": "op2_packing",
     "op3_toxicity": "op3_toxicity",
     "op4_bpe": "op4_bpe",
