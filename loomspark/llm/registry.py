@@ -15,6 +15,7 @@ MODULES = {
     "op7_quality": "op7_quality",
     "op8_simhash": "op8_simhash",
     "op9_sharding": "op9_sharding",
+    "op10_media": "op10_media",
 }
 
 
