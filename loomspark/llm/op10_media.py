@@ -37,7 +37,7 @@ BITS = 256
 #: Radius of the orientation patch, of the tests, and the border corners keep from the edge.
 PATCH, REACH, BORDER = 7, 9, 11
 #: Bit samples (tables) and their width.
-TABLES, TABLE_BITS = 6, 32
+TABLES, TABLE_BITS = 6, 44
 #: Full Hamming distance of a match, at most; corners that must vote for one similarity.
 MAX_DISTANCE, LEAST_VOTES = 48, 4
 #: Votes fall in bins of this rotation (degrees), scale (octaves) and shift (pixels), on two grids half a bin apart.
@@ -214,7 +214,7 @@ def features(media: DataFrame) -> DataFrame:
                     n, x, y, scale, angle, bits = (v[order] for v in (n, x, y, scale, angle, bits))
                     first = np.searchsorted(n, n)
                     desc = np.ascontiguousarray(np.packbits(bits, axis=1)).view(">i8").astype(np.int64)
-                    keys = np.stack([np.ascontiguousarray(np.packbits(bits[:, s], axis=1)).view(">u4")[:, 0].astype(np.int64) for s in _samples()], axis=1)
+                    keys = np.stack([bits[:, s] @ (1 << np.arange(TABLE_BITS)) + (k << TABLE_BITS) for k, s in enumerate(_samples())], axis=1).astype(np.int64)
                     lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel()))
                     floats = [pa.array(v.astype(np.float32)) for v in (x, y, scale, angle)]
                     yield pa.RecordBatch.from_arrays(
@@ -228,15 +228,21 @@ def features(media: DataFrame) -> DataFrame:
 def matches(corner_rows: DataFrame) -> DataFrame:
     """Pairs of corners of different images that share a table key and are close in full distance.
 
-    Each corner meets the corner of the bucket's least image; buckets of one image go first.
+    Each corner meets a corner of the bucket's least image; buckets of one image go first. Only ids
+    and keys are shuffled until pairs are known.
     """
-    entries = corner_rows.select("*", F.posexplode("keys").alias("table", "key")).drop("keys")
-    one = F.struct("media_id", "corner", "x", "y", "scale", "angle", "desc")
-    buckets = entries.groupBy("table", "key").agg(F.min("media_id").alias("lo"), F.max("media_id").alias("hi"), F.min(one).alias("head")).filter("lo < hi").select("table", "key", "head")
+    entries = corner_rows.select("media_id", "corner", F.explode("keys").alias("key"))
+    buckets = entries.groupBy("key").agg(F.min("media_id").alias("lo"), F.max("media_id").alias("hi")).filter("lo < hi").select("key", "lo")
     buckets = durable(buckets, "buckets")
-    pairs = entries.join(broadcast_if_small(buckets, buckets.count(), 120), ["table", "key"]).filter("media_id > head.media_id")
-    apart = sum((F.bit_count(F.col("desc")[i].bitwiseXOR(F.col("head.desc")[i])) for i in range(BITS // 64)), F.lit(0))
-    return pairs.filter(apart <= MAX_DISTANCE)
+    shared = durable(entries.join(broadcast_if_small(buckets, buckets.count(), 16), "key"), "bucket-entries")
+    heads = shared.filter("media_id = lo").groupBy("key").agg(F.min("corner").alias("head_corner"))
+    pairs = shared.filter("media_id > lo").join(heads, "key").select("media_id", "corner", F.col("lo").alias("head_id"), "head_corner").distinct()
+    place = F.struct("x", "y", "scale", "angle", "desc")
+    own = corner_rows.select("media_id", "corner", place.alias("own"))
+    head = corner_rows.select(F.col("media_id").alias("head_id"), F.col("corner").alias("head_corner"), place.alias("head"))
+    both = pairs.join(own, ["media_id", "corner"]).join(head, ["head_id", "head_corner"])
+    apart = sum((F.bit_count(F.col("own.desc")[i].bitwiseXOR(F.col("head.desc")[i])) for i in range(BITS // 64)), F.lit(0))
+    return both.filter(apart <= MAX_DISTANCE).select("media_id", "corner", "own.x", "own.y", "own.scale", "own.angle", "head_id", "head")
 
 
 def agreements(pairs: DataFrame) -> DataFrame:
@@ -256,7 +262,7 @@ def agreements(pairs: DataFrame) -> DataFrame:
         )
         for g in (0, 1)
     ])
-    votes = pairs.select(F.col("media_id").alias("u"), F.col("head.media_id").alias("v"), "corner", F.explode(bins).alias("bin"))
+    votes = pairs.select(F.col("media_id").alias("u"), F.col("head_id").alias("v"), "corner", F.explode(bins).alias("bin"))
     # The same corner can match through several tables: it votes once.
     once = votes.distinct().groupBy("u", "v", "bin").count().filter(F.col("count") >= LEAST_VOTES)
     return once.select("u", "v").distinct()
