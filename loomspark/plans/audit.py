@@ -1,34 +1,114 @@
-"""Corpus audit: per-source profile of the documents."""
+"""Corpus audit: profiles, percentiles, windows, tiers, histograms, frequencies, duplicates.
+
+The manifest stands on ``lineitem`` where scale matters (l_suppkey as cluster, l_quantity as
+duration, l_extendedprice / l_quantity as rate) and on ``documents`` where text does. A duration of
+a document is the proxy ``1 + doc_id * 37 % 390 / 10`` seconds, and its MOS ``2.5 + 0.5 * quality``
+(null where unlabelled).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def profile_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return (
-        docs.groupBy("source")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.length(text)).alias("chars"),
-            F.count_if(text.rlike("[0-9]")).alias("with_digit"),
-            F.count_if(text.rlike("[A-Za-z]")).alias("with_latin"),
-            F.count_if(F.trim(text) == "").alias("empty"),
-        )
-        .orderBy("source")
-    )
-
-
-QUERIES = {"audit_profile_by_source": profile_by_source}
-
-ORACLE = {
-    "audit_profile_by_source": """
-        SELECT source, count(*) AS n, sum(length(coalesce(text, ''))) AS chars,
-               count(*) FILTER (WHERE regexp_matches(coalesce(text, ''), '[0-9]')) AS with_digit,
-               count(*) FILTER (WHERE regexp_matches(coalesce(text, ''), '[A-Za-z]')) AS with_latin,
-               count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS empty
-        FROM documents GROUP BY source ORDER BY source""",
+from ..functions.dialect import Dialect, catalogue
+
+DURATION = "(1.0 + (doc_id * 37 % 390) / 10.0)"
+HISTOGRAM_EDGES = (0, 0.5, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 60)
+QUANTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
+LETTERS = "[^A-Za-zÀ-ÖØ-öø-ÿ]"
+
+
+def manifest(d: Dialect) -> str:
+    """idx, shard, text, duration, n_chars, n_words, n_letters, rate, mos of every document."""
+    letters = f"length({d.sub('body', LETTERS, '')})"
+    return f"""
+        SELECT doc_id AS idx, source AS shard, body, CAST(duration AS DOUBLE) AS duration, {d.long('length(body)')} AS n_chars, {d.long(letters)} AS n_letters,
+               {d.size(d.keep(d.split('body', '[ \t\n]+'), 'w', "w <> ''"))} AS n_words,
+               CASE WHEN duration > 0 THEN CAST({letters} AS DOUBLE) / CAST(duration AS DOUBLE) ELSE 0 END AS rate, mos
+        FROM (SELECT x.doc_id, source, coalesce(text, '') AS body, CAST({DURATION.replace('doc_id', 'x.doc_id')} AS DOUBLE) AS duration, CAST(2.5 + 0.5 * quality AS DOUBLE) AS mos
+              FROM {d.t('documents')} x LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {d.t('labels')} GROUP BY doc_id) l ON x.doc_id = l.doc_id) r"""
+
+
+def rates(d: Dialect) -> str:
+    """idx, cluster, duration, rate over the large table."""
+    return f"SELECT l_orderkey * 10 + l_linenumber AS idx, l_suppkey AS cluster, l_quantity AS duration, l_extendedprice / l_quantity AS rate, l_discount AS mos FROM {d.t('lineitem')} WHERE l_quantity > 0"
+
+
+def _percentiles(d: Dialect, x: str, name: str, rows: str) -> str:
+    cuts = ", ".join(f"round({d.pct(x, q / 100)}, 4) AS p{q}" for q in QUANTILES)
+    return f"SELECT '{name}' AS measure, {cuts}, round(avg({x}), 4) AS mean, round(min({x}), 4) AS lowest, round(max({x}), 4) AS highest FROM ({rows}) m"
+
+
+def window(d: Dialect, rows: str) -> str:
+    return f"SELECT {d.pct('rate', 0.02)} AS lo, {d.pct('rate', 0.98)} AS hi FROM ({rows}) w WHERE rate > 0"
+
+
+def tiers(d: Dialect, rows: str) -> str:
+    """Rows with tier flags: bounds are inclusive, a missing MOS fails."""
+    return f"""
+        SELECT m.*, lo, hi, coalesce(mos, -1) >= 0.06 AND duration BETWEEN 10 AND 40 AND rate BETWEEN lo AND hi AS tier_a,
+               coalesce(mos, -1) >= 0.03 AND duration BETWEEN 5 AND 48 AND rate BETWEEN lo AND hi AS tier_b
+        FROM ({rows}) m CROSS JOIN ({window(d, rows)}) f"""
+
+
+def _histogram(d: Dialect) -> str:
+    pairs = list(zip(HISTOGRAM_EDGES, HISTOGRAM_EDGES[1:]))
+    case = " ".join(f"WHEN duration >= {a} AND duration {'<=' if b == HISTOGRAM_EDGES[-1] else '<'} {b} THEN '{a}-{b}s'" for a, b in pairs)
+    return f"SELECT bin, count(*) AS n FROM (SELECT CASE {case} END AS bin FROM ({rates(d)}) m) h WHERE bin IS NOT NULL GROUP BY bin"
+
+
+def _tier_row(d: Dialect, tier: str) -> str:
+    return f"SELECT '{tier}' AS tier, {d.when(tier)} AS n, round(sum(CASE WHEN {tier} THEN duration ELSE 0 END) / 3600, 6) AS hours, round(CAST(100 AS DOUBLE) * {d.when(tier)} / count(*), 4) AS pct FROM ({tiers(d, rates(d))}) t"
+
+
+TEXTS = {
+    # Flags and group-by shard
+    "audit_profile_by_source": lambda d: f"""
+        SELECT source, count(*) AS n, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, {d.when(d.has("coalesce(text, '')", '[0-9]'))} AS with_digit,
+               {d.when(d.has("coalesce(text, '')", '[A-Za-z]'))} AS with_latin, {d.when("trim(coalesce(text, '')) = ''")} AS empty
+        FROM {d.t('documents')} GROUP BY source""",
+    "audit_flags": lambda d: f"""
+        SELECT count(*) AS n, {d.when("body = ''")} AS empty, {d.when(d.has('body', '[A-Za-z]'))} AS latin, {d.when(d.has('body', '[0-9]'))} AS digit,
+               {d.when("body LIKE '%‌%'")} AS zwnj FROM ({manifest(d)}) m""",
+    "audit_shards": lambda d: f"""
+        SELECT shard, count(*) AS n, round(sum(duration) / 3600, 6) AS hours, round(avg(duration), 6) AS mean_duration, round({d.pct('rate', 0.5)}, 6) AS median_rate,
+               round({d.pct('mos', 0.5)}, 6) AS median_mos FROM ({manifest(d)}) m GROUP BY shard""",
+    # P2 P3 P4 A7
+    "text_profile": lambda d: f"SELECT idx, n_chars, n_words, n_letters, round(rate, 4) AS rate, mos FROM ({manifest(d)}) m",
+    # A1
+    "text_percentiles": lambda d: " UNION ALL ".join(_percentiles(d, x, x, manifest(d)) for x in ("duration", "n_chars", "rate")),
+    "lineitem_percentiles": lambda d: _percentiles(d, "rate", "rate", rates(d)),
+    # A2 P7
+    "rate_window": lambda d: f"SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM ({window(d, rates(d))}) w",
+    "rate_outliers": lambda d: f"SELECT count(*) AS n, {d.when('rate < lo OR rate > hi')} AS outside FROM ({rates(d)}) m CROSS JOIN ({window(d, rates(d))}) w",
+    # A8 P9
+    "duration_histogram": _histogram,
+    "duration_limits": lambda d: "SELECT " + ", ".join(f"{d.when(f'duration {op} {x}')} AS {n}" for op, x, n in ((">", 15, "over_15"), (">", 20, "over_20"), (">", 30, "over_30"), ("<", 2, "under_2"))) + f" FROM ({rates(d)}) m",
+    # P5 P6 A10
+    "tier_summary": lambda d: f"{_tier_row(d, 'tier_a')} UNION ALL {_tier_row(d, 'tier_b')}",
+    "tier_rows": lambda d: f"SELECT idx, cluster, tier_a, tier_b FROM ({tiers(d, rates(d))}) t WHERE tier_a OR tier_b",
+    # A3 O2
+    "char_inventory": lambda d: f"""
+        SELECT ch, count(*) AS n FROM (SELECT {'explode' if d.spark else 'unnest'}({d.chars("text")}) AS ch FROM {d.t('documents')}) c WHERE ch <> '' GROUP BY ch ORDER BY n DESC, ch""",
+    # A4 A5
+    "distinct_dup_texts": lambda d: f"SELECT count(*) AS n, count(DISTINCT trim(coalesce(text, ''))) AS distinct_texts, count(*) - count(DISTINCT trim(coalesce(text, ''))) AS duplicates FROM {d.t('documents')}",
+    # O1
+    "top_texts": lambda d: f"SELECT trim(text) AS body, count(*) AS n, min(doc_id) AS first_id FROM {d.t('documents')} WHERE text IS NOT NULL GROUP BY trim(text) ORDER BY n DESC, first_id LIMIT 15",
+    # P8 P9 P11
+    "loader_filters": lambda d: f"SELECT idx, n_chars, duration FROM ({manifest(d)}) m WHERE body <> '' AND n_chars <= 4000 AND duration BETWEEN 0.8 AND 13 AND n_letters >= 4",
+    "first_rows": lambda d: f"SELECT idx, n_chars FROM ({manifest(d)}) m ORDER BY idx LIMIT 100",
+    # Operators that sample
+    "systematic_sample": lambda d: f"SELECT l_orderkey, l_linenumber, l_quantity FROM {d.t('lineitem')} WHERE l_orderkey % 20 = 0",
+    "hash_sample": lambda d: f"SELECT l_orderkey, l_linenumber FROM {d.t('lineitem')} ORDER BY (l_orderkey * 1103515245 + l_linenumber * 12345) % 2147483648, l_orderkey, l_linenumber LIMIT 500",
+    # P14 U3
+    "unsupported_chars": lambda d: f"""
+        SELECT idx, n_bad FROM (SELECT doc_id AS idx, CAST(length({d.sub("coalesce(text, '')", "[ء-ی،؛؟!.:()«»\"'‌ \t\n-]", '')}) AS BIGINT) AS n_bad FROM {d.t('documents')}) b WHERE n_bad > 0""",
+    # S1-S5
+    "scan_select": lambda d: f"SELECT o_orderkey, o_totalprice FROM {d.t('orders')} WHERE o_totalprice > 100000 AND o_orderstatus = 'F'",
+    "row_offsets": lambda d: f"""
+        SELECT source, n, CAST(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS BIGINT) AS row_offset
+        FROM (SELECT source, count(*) AS n FROM {d.t('documents')} GROUP BY source) s""",
+    # S15
+    "centre_crop": lambda d: f"""
+        SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE substring(text, CAST(floor((length(text) - 200) / 2) AS INT) + 1, 200) END AS crop FROM {d.t('documents')}""",
 }
+
+QUERIES, ORACLE = catalogue(TEXTS)
