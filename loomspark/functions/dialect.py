@@ -35,6 +35,11 @@ class Dialect:
     def pct(self, x: str, q: float) -> str:
         return f"percentile({x}, {q}D)" if self.spark else f"quantile_cont({x}, {q})"
 
+    def pcts(self, x: str, qs) -> str:
+        """An array of interpolated percentiles, from one aggregate."""
+        values = ", ".join(f"{q}D" if self.spark else str(q) for q in qs)
+        return f"percentile({x}, array({values}))" if self.spark else f"quantile_cont({x}, [{values}])"
+
     def when(self, condition: str) -> str:
         """How many rows hold the condition."""
         return f"count(*) FILTER (WHERE {condition})"

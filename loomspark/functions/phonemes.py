@@ -13,7 +13,11 @@ SYMBOLS = (*SPECIALS, *CONSONANTS, *VOWELS, *MARKERS)
 IPA = dict(zip((*CONSONANTS, *VOWELS), ("p", "b", "t", "d", "k", "ɡ", "ɢ", "ʔ", "f", "v", "s", "z", "ʃ", "ʒ", "χ", "h", "t͡ʃ", "d͡ʒ", "m", "n", "l", "ɾ", "j", "ɒː", "iː", "uː", "æ", "e", "o")))
 PAD, BOS, EOS, UNKNOWN = 0, 1, 2, 3
 #: Sonority classes, for the order of consonants in a cluster.
-SONORITY = {**dict.fromkeys(("p", "b", "t", "d", "k", "g", "q", "'"), 1), **dict.fromkeys(("ch", "j"), 2), **dict.fromkeys(("f", "v", "s", "z", "sh", "zh", "x", "h"), 3), "m": 4, "n": 4, "l": 5, "r": 5, "y": 6}
+SONORITY = {
+    "p": 1, "b": 1, "t": 1, "d": 1, "k": 1, "g": 1, "q": 1, "'": 1, "ch": 1, "j": 1,
+    "f": 2, "v": 2, "s": 2, "z": 2, "sh": 2, "zh": 2, "x": 2, "h": 2,
+    "m": 3, "n": 3, "l": 4, "r": 4, "y": 5,
+}
 
 
 def _array(d: Dialect, values) -> str:

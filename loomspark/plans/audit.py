@@ -18,13 +18,12 @@ LETTERS = "[^A-Za-zÀ-ÖØ-öø-ÿ]"
 
 def manifest(d: Dialect) -> str:
     """idx, shard, text, duration, n_chars, n_words, n_letters, rate, mos of every document."""
-    letters = f"length({d.sub('body', LETTERS, '')})"
     return f"""
-        SELECT doc_id AS idx, source AS shard, body, CAST(duration AS DOUBLE) AS duration, {d.long('length(body)')} AS n_chars, {d.long(letters)} AS n_letters,
-               {d.size(d.keep(d.split('body', '[ \t\n]+'), 'w', "w <> ''"))} AS n_words,
-               CASE WHEN duration > 0 THEN CAST({letters} AS DOUBLE) / CAST(duration AS DOUBLE) ELSE 0 END AS rate, mos
-        FROM (SELECT x.doc_id, source, coalesce(text, '') AS body, CAST({DURATION.replace('doc_id', 'x.doc_id')} AS DOUBLE) AS duration, CAST(2.5 + 0.5 * quality AS DOUBLE) AS mos
-              FROM {d.t('documents')} x LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {d.t('labels')} GROUP BY doc_id) l ON x.doc_id = l.doc_id) r"""
+        SELECT idx, shard, body, duration, n_chars, n_letters, n_words, mos, CASE WHEN duration > 0 THEN CAST(n_letters AS DOUBLE) / duration ELSE 0 END AS rate FROM (
+            SELECT x.doc_id AS idx, source AS shard, body, duration, {d.long('length(body)')} AS n_chars, {d.long(f"length({d.sub('body', LETTERS, '')})")} AS n_letters,
+                   {d.size(d.keep(d.split('body', '[ \t\n]+'), 'w', "w <> ''"))} AS n_words, CAST(2.5 + 0.5 * quality AS DOUBLE) AS mos
+            FROM (SELECT doc_id, source, coalesce(text, '') AS body, CAST({DURATION} AS DOUBLE) AS duration FROM {d.t('documents')}) x
+            LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {d.t('labels')} GROUP BY doc_id) l ON x.doc_id = l.doc_id) r"""
 
 
 def rates(d: Dialect) -> str:
@@ -33,12 +32,12 @@ def rates(d: Dialect) -> str:
 
 
 def _percentiles(d: Dialect, x: str, name: str, rows: str) -> str:
-    cuts = ", ".join(f"round({d.pct(x, q / 100)}, 4) AS p{q}" for q in QUANTILES)
-    return f"SELECT '{name}' AS measure, {cuts}, round(avg({x}), 4) AS mean, round(min({x}), 4) AS lowest, round(max({x}), 4) AS highest FROM ({rows}) m"
+    cuts = ", ".join(f"round({d.at('ps', str(i + 1))}, 4) AS p{q}" for i, q in enumerate(QUANTILES))
+    return f"SELECT '{name}' AS measure, {cuts}, mean, lowest, highest FROM (SELECT {d.pcts(x, [q / 100 for q in QUANTILES])} AS ps, round(avg({x}), 4) AS mean, round(min({x}), 4) AS lowest, round(max({x}), 4) AS highest FROM ({rows}) m) s"
 
 
 def window(d: Dialect, rows: str) -> str:
-    return f"SELECT {d.pct('rate', 0.02)} AS lo, {d.pct('rate', 0.98)} AS hi FROM ({rows}) w WHERE rate > 0"
+    return f"SELECT {d.at('ps', '1')} AS lo, {d.at('ps', '2')} AS hi FROM (SELECT {d.pcts('rate', (0.02, 0.98))} AS ps FROM ({rows}) w WHERE rate > 0) s"
 
 
 def tiers(d: Dialect, rows: str) -> str:
