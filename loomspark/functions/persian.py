@@ -78,7 +78,7 @@ def joiners(x: str) -> str:
 
 def spaces(x: str) -> str:
     """Spark only: runs of spaces to one, none before a mark, one after it."""
-    x = f"regexp_replace({x}, '[ \t -​]+', ' ')"
+    x = f"regexp_replace({x}, '[ \t\u2000-\u200b]+', ' ')"
     x = f"regexp_replace({x}, r'\\s*([،؛؟!.:])', '$1')"
     x = f"regexp_replace({x}, r'([،؛؟!.:])(?=\\S)', '$1 ')"
     return f"regexp_replace({x}, r'^\\s+|\\s+$', '')"
