@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import numbers, persian, phonemes
+from ..functions import g2p, numbers, persian, phonemes
 from ..functions.dialect import Dialect, catalogue
 from ..functions.persian import ZWNJ
 
@@ -90,6 +90,36 @@ TEXTS = {
     "sonority_pairs": lambda d: "SELECT a.s AS first_c, b.s AS second_c, a.level > b.level AS falling FROM " + " CROSS JOIN ".join("(SELECT * FROM (VALUES " + ", ".join(f"('{s}', {v})" for s, v in phonemes.SONORITY.items() if s != "'") + f") v(s, level)) {t}" for t in "ab"),
 }
 
+SENTENCES = ("کتاب من روی میز است", "مرد را دید", "او دیروز مرد", "این کتاب خوب", "ساعت نه صبح", "نه شما", "پر از گل", "علی به تهران رفت")
+
+
+def classes() -> str:
+    """w, tag, place: word classes in order of precedence."""
+    cells = [f"('{w}', '{tag}', {i})" for i, (tag, words) in enumerate(g2p.CLASSES.items()) for w in words.split()]
+    return f"SELECT * FROM (VALUES {', '.join(cells)}) c(w, tag, place)"
+
+
+def placed(d: Dialect) -> str:
+    """id, pos, w: the words of the sentences in order."""
+    if d.spark:
+        return f"SELECT id, pos, w FROM ({rows(SENTENCES)}) s LATERAL VIEW posexplode(split(s, ' ')) x AS pos, w"
+    return f"SELECT id, CAST(pos - 1 AS INT) AS pos, w FROM (SELECT id, unnest(string_split(s, ' ')) AS w, generate_subscripts(string_split(s, ' '), 1) AS pos FROM ({rows(SENTENCES)}) s) x"
+
+
+TEXTS |= {
+    # Ordered membership, noun where no class holds the word
+    "word_class_tags": lambda d: f"""
+        SELECT id, pos, w, coalesce(tag, 'noun') AS tag FROM (
+            SELECT p.id, p.pos, p.w, c.tag, row_number() OVER (PARTITION BY p.id, p.pos ORDER BY c.place) AS k FROM ({placed(d)}) p LEFT JOIN ({classes()}) c ON p.w = c.w) t WHERE k = 1""",
+    # W5 G14
+    "homograph_context": lambda d: f"""
+        SELECT id, pos, w, CASE WHEN w = 'مرد' THEN CASE WHEN after = 'را' OR after IS NOT NULL THEN 'mard' ELSE 'mord' END WHEN w = 'نه' THEN CASE WHEN before = 'ساعت' OR after = 'صبح' THEN 'noh' ELSE 'na' END
+               WHEN w = 'پر' THEN 'por' END AS reading
+        FROM (SELECT id, pos, w, lag(w) OVER s AS before, lead(w) OVER s AS after FROM ({placed(d)}) p WINDOW s AS (PARTITION BY id ORDER BY pos)) c WHERE w IN ('مرد', 'نه', 'پر')""",
+    # Symbols and ids side by side
+    "id_lookup": lambda d: f"SELECT p.s AS symbol, {phonemes.UNKNOWN + 0} AS unknown_id, coalesce(i.id, {phonemes.UNKNOWN}) AS symbol_id FROM ({rows(('sh', 'A', 'zz', '1', 'x', '@'))}) p LEFT JOIN ({rows(phonemes.SYMBOLS)}) i ON p.s = i.s",
+}
+
 QUERIES, ORACLE = catalogue(TEXTS)
 
 

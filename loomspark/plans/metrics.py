@@ -14,10 +14,19 @@ HALTS = (("click", 0, ">", 99.0), ("error", 100, ">", 95.0), ("view", 200, "<",
 
 
 def steps(d: Dialect) -> str:
-    """metric, step (from 1), value (null where not finite), bad."""
+    """metric, step (from 1), value (null where not finite), bad, bad_rank (bad rows up to here).
+
+    Ranks are taken within an hour and shifted by prefix counts of the hours before, so that no metric,
+    however long, is ranked by one task.
+    """
+    base = f"SELECT event_type AS metric, event_id, ts, date_trunc('hour', ts) AS slot, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS value, event_id % 97 = 0 OR event_id % 89 = 1 AS bad FROM {d.t('events')}"
+    one = "CASE WHEN bad THEN 1 ELSE 0 END"
+    before = "OVER (PARTITION BY metric ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    slots = f"SELECT metric, slot, sum(n) {before} - n AS n_before, sum(n_bad) {before} - n_bad AS bad_before FROM (SELECT metric, slot, count(*) AS n, sum({one}) AS n_bad FROM ({base}) b GROUP BY metric, slot) c"
+    within = "OVER (PARTITION BY metric, slot ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"""
-        SELECT event_type AS metric, {d.long('row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)')} AS step, event_id,
-               CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS value, event_id % 97 = 0 OR event_id % 89 = 1 AS bad FROM {d.t('events')}"""
+        SELECT r.metric, {d.long('n_before + k')} AS step, event_id, value, bad, {d.long('bad_before + k_bad')} AS bad_rank
+        FROM (SELECT *, count(*) {within} AS k, sum({one}) {within} AS k_bad FROM ({base}) b) r JOIN ({slots}) s ON r.metric = s.metric AND r.slot = s.slot"""
 
 
 def _violations(d: Dialect) -> str:
@@ -32,16 +41,18 @@ TEXTS = {
     # W3
     "nonfinite_streak": lambda d: f"""
         SELECT metric, max(n) AS longest, count(*) AS islands FROM (
-            SELECT metric, island, count(*) AS n FROM (
-                SELECT metric, step - row_number() OVER (PARTITION BY metric, bad ORDER BY step) AS island, bad FROM ({steps(d)}) s) i WHERE bad GROUP BY metric, island) g GROUP BY metric""",
+            SELECT metric, step - bad_rank AS island, count(*) AS n FROM ({steps(d)}) s WHERE bad GROUP BY metric, step - bad_rank) g GROUP BY metric""",
     # The first violation wins; within a step, rule order
-    "guard_first_trip": lambda d: f"SELECT rule, metric, step, value FROM (SELECT rule, metric, step, value, row_number() OVER (ORDER BY step, rule) AS k FROM ({_violations(d)}) v) r WHERE k = 1",
+    "guard_first_trip": lambda d: f"SELECT rule, metric, step, value FROM ({_violations(d)}) v ORDER BY step, rule LIMIT 1",
     # M3
     "finite_metrics": lambda d: f"SELECT metric, count(value) AS n, round(avg(value), 6) AS mean FROM ({steps(d)}) s GROUP BY metric",
     # M1 W7
     "budget_crossing": lambda d: f"""
         SELECT min(event_id) AS halted_at, count(*) AS after FROM (
-            SELECT event_id, sum(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 3600 * {USD_PER_HOUR} AS spent FROM {d.t('events')}) r WHERE spent >= {CEILING}""",
+            SELECT event_id, (hours_before + sum(value) OVER (PARTITION BY e.slot ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 3600 * {USD_PER_HOUR} AS spent
+            FROM (SELECT event_id, ts, value, date_trunc('hour', ts) AS slot FROM {d.t('events')}) e
+            JOIN (SELECT slot, sum(v) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - v AS hours_before
+                  FROM (SELECT date_trunc('hour', ts) AS slot, sum(value) AS v FROM {d.t('events')} GROUP BY date_trunc('hour', ts)) h) b ON e.slot = b.slot) r WHERE spent >= {CEILING}""",
     # M12
     "budget_report": lambda d: f"""
         SELECT event_type, round(sum(value) / 3600, 6) AS hours, round(sum(value) / 3600 * {USD_PER_HOUR}, 6) AS spent,
@@ -54,8 +65,7 @@ TEXTS = {
             SELECT user_id, event_type, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM {d.t('events')} GROUP BY user_id, event_type) x GROUP BY user_id""",
     # O5 M10
     "latest_checkpoint": lambda d: f"""
-        SELECT name, step FROM (SELECT name, step, row_number() OVER (ORDER BY step DESC) AS k FROM (
-            SELECT name, {d.long(d.extract('name', 'step_([0-9]+)', 1))} AS step FROM (SELECT concat('step_', CAST(o_orderkey * 7 % 4099 AS VARCHAR(20)), '.pth') AS name FROM {d.t('orders')}) n) x) r WHERE k = 1""",
+        SELECT name, {d.long(d.extract('name', 'step_([0-9]+)', 1))} AS step FROM (SELECT concat('step_', CAST(o_orderkey * 7 % 4099 AS VARCHAR(20)), '.pth') AS name FROM {d.t('orders')}) n ORDER BY step DESC LIMIT 1""",
     # M11
     "history_tail": lambda d: f"SELECT event_id, value FROM {d.t('events')} ORDER BY ts DESC, event_id DESC LIMIT 500",
     # W5
