@@ -105,3 +105,33 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, buckets: int = BUCKETS) ->
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _oracle_descent(source: str, top: Node, name: str) -> str:
+    """DuckDB: the same descent, a level a subquery; the place of the greatest draw among a node's children."""
+    level, sql = [("", top)], f"SELECT *, '' AS spot FROM ({source}) s0"
+    while any(n.children for _, n in level):
+        cases, below = [], []
+        for path, node in level:
+            if not node.children:
+                continue
+            draws = ", ".join(f"ln((('0x' || substr(md5(k || '/{c.name}'), 1, 13))::BIGINT + 0.5) / {_UNIT}) / {float(c.weight)}" for c in node.children)
+            cases.append(f"WHEN spot = '{path}' THEN spot || (list_position([{draws}], list_max([{draws}])) - 1) || '.'")
+            below += [(f"{path}{i}.", c) for i, c in enumerate(node.children)]
+        sql = f"SELECT * EXCLUDE (spot), CASE {' '.join(cases)} ELSE spot END AS spot FROM ({sql}) s"
+        level = below + [(p, n) for p, n in level if not n.children]
+    leaves = " ".join(f"WHEN '{p}' THEN {n.shard}" for p, n in level)
+    return f"SELECT * EXCLUDE (spot), CASE spot {leaves} END AS {name} FROM ({sql}) t"
+
+
+# CRC-32 over UTF-8 bytes: the byte table comes from the polynomial.
+_ORACLE_ROWS = """
+    SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(coalesce(text, '')))), lambda i: ('0x' || substr(hex(coalesce(text, '')), (2 * i + 1)::INT, 2))::BIGINT)),
+               lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+    FROM documents, (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384::BIGINT * (c & 1)))) AS tbl) p"""
+
+ORACLE_SQL = f"""
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('bucket/' || k), 1, 8))::BIGINT % {BUCKETS}, doc_id, text_crc32, size) - 1 AS slot
+FROM ({_oracle_descent(_oracle_descent(_ORACLE_ROWS, tree(N_SHARDS), "shard"), tree(N_SHARDS + 1), "grown_shard")}) r"""

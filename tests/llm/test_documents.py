@@ -187,3 +187,13 @@ def test_classifiers(spark, module, column):
     none = train(docs, table.limit(0))
     assert {r.score for r in module.score(docs, none, ["doc_id"]).collect()} == {0.0}
     assert module.score(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_sweep(spark):
+    from loomspark.llm.common import durable, sweep
+
+    kept = durable(spark.range(3), "t")
+    path = kept.inputFiles()[0]
+    assert sweep(spark) >= 1 and sweep(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(path).count()
