@@ -44,6 +44,10 @@ class Dialect:
         """How many rows hold the condition."""
         return f"count(*) FILTER (WHERE {condition})"
 
+    def micros(self, x: str) -> str:
+        """Microseconds of a timestamp without zone, taken as UTC."""
+        return f"unix_micros(CAST({x} AS TIMESTAMP))" if self.spark else f"epoch_us({x})"
+
     def long(self, x: str) -> str:
         return f"CAST({x} AS BIGINT)"
 

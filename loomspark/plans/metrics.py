@@ -7,6 +7,7 @@ event id is divisible by 97 stands for a non-finite one.
 from __future__ import annotations
 
 from ..functions.dialect import Dialect, catalogue
+from ..functions.persian import timeout_minutes
 
 LOG_EVERY = 50
 USD_PER_HOUR, CEILING = 0.8, 100.0
@@ -57,6 +58,13 @@ TEXTS = {
     "budget_report": lambda d: f"""
         SELECT event_type, round(sum(value) / 3600, 6) AS hours, round(sum(value) / 3600 * {USD_PER_HOUR}, 6) AS spent,
                CASE WHEN event_type = 'view' THEN NULL ELSE round(greatest(0, 20 - sum(value) / 3600 * {USD_PER_HOUR}), 6) END AS remaining FROM {d.t('events')} GROUP BY event_type""",
+    # M6: a run without a second event has no end, so no cost
+    "job_cost": lambda d: f"""
+        SELECT user_id, CASE WHEN n < 2 THEN NULL ELSE round((stop - start) / CAST(3600000000 AS DOUBLE) * {USD_PER_HOUR}, 6) END AS cost
+        FROM (SELECT user_id, count(*) AS n, {d.micros('min(ts)')} AS start, {d.micros('max(ts)')} AS stop FROM {d.t('events')} GROUP BY user_id) e""",
+    # M7: the time limit at the rate of the machine
+    "worst_case_cost": lambda d: f"""
+        SELECT flavor, round({timeout_minutes(d, 'time_limit')} / 60 * usd, 6) AS worst FROM (SELECT * FROM (VALUES ('cpu', '30m', CAST(0.03 AS DOUBLE)), ('l4', '2h', CAST(0.8 AS DOUBLE)), ('a100', '1d', CAST(2.5 AS DOUBLE)), ('t4', '90', CAST(0.4 AS DOUBLE))) v(flavor, time_limit, usd)) c""",
     # M5
     "lr_schedule": lambda d: f"SELECT o_orderkey AS step, round(0.0002 * power(0.999875, o_orderkey), 12) AS lr, round(greatest(CAST(0 AS DOUBLE), 0.01 - 0.000002 * o_orderkey), 9) AS noise FROM {d.t('orders')}",
     # M4: entropy of the distribution of event types, per user, over log n
