@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.quantiles import exact_quantiles
+
 
 @dataclass(frozen=True)
 class Dialect:
     spark: bool
     folder: str = ""
+    #: With a session, what a query fits on its data first (``fitted``) becomes literals of its plan.
+    session: SparkSession | None = field(default=None, compare=False)
+    fits: dict = field(default_factory=dict, compare=False)
 
     def t(self, table: str) -> str:
         return f"parquet.`{self.folder}/{table}.parquet`" if self.spark else table
@@ -26,6 +31,10 @@ class Dialect:
     def sub(self, x: str, pattern: str, to: str) -> str:
         return f"regexp_replace({x}, {self.text(pattern)}, {self.text(to)}" + (")" if self.spark else ", 'g')")
 
+    def matches(self, x: str, pattern: str) -> str:
+        """How often the pattern occurs."""
+        return f"CAST(regexp_count({x}, {self.text(pattern)}) AS BIGINT)" if self.spark else f"len(regexp_extract_all({x}, {self.text(pattern)}))"
+
     def extract(self, x: str, pattern: str, group: int) -> str:
         return f"regexp_extract({x}, {self.text(pattern)}, {group})"
 
@@ -44,6 +53,18 @@ class Dialect:
         """How many rows hold the condition."""
         return f"count(*) FILTER (WHERE {condition})"
 
+    def fitted(self, rows: str, x: str, qs) -> str | None:
+        """An array of exact percentiles of a query's column, fitted by bracketing; None without a session."""
+        if self.session is None:
+            return None
+        if (rows, x) not in self.fits:
+            self.fits[rows, x] = {}
+        known = self.fits[rows, x]
+        if new := [q for q in qs if q not in known]:
+            found = exact_quantiles(self.session.sql(f"SELECT {x} AS x FROM ({rows}) f"), "x", new) or [None] * len(new)
+            known.update(zip(new, found))
+        return self.array(*("CAST(NULL AS DOUBLE)" if known[q] is None else f"{known[q]!r}D" for q in qs))
+
     def micros(self, x: str) -> str:
         """Microseconds of a timestamp without zone, taken as UTC."""
         return f"unix_micros(CAST({x} AS TIMESTAMP))" if self.spark else f"epoch_us({x})"
@@ -98,7 +119,7 @@ def catalogue(texts: dict[str, Text], rows_only: frozenset[str] = frozenset()) -
 
     def runner(text: Text):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return spark.sql(text(Dialect(True, sf_dir)))
+            return spark.sql(text(Dialect(True, sf_dir, spark)))
 
         return run
 

@@ -9,7 +9,11 @@ bounded by ``SETTLED`` rows a quantile, whatever the input holds.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from functools import reduce
+from operator import or_
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +23,41 @@ ERROR = 1e-3
 
 
 def exact_quantiles(df: DataFrame, column: str, quantiles: list[float]) -> list[float] | None:
-    """Linear interpolation between order statistics; nulls are skipped; None for no rows."""
-    values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    """Linear interpolation between order statistics; nulls are skipped; None for no rows.
+
+    Four passes serve all quantiles whose brackets hold at most ``SETTLED`` rows; others go on alone.
+    """
+    # The column alone is kept over the passes: what computes it can cost far more than reading it again.
+    values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _all(values, quantiles)
+    finally:
+        values.unpersist()
+
+
+def _all(values: DataFrame, quantiles: list[float]) -> list[float] | None:
     total = values.count()
     if not total:
         return None
-    return [_one(values, total, q) for q in quantiles] if total > SETTLED else _settle(values, 0, [(total - 1) * q for q in quantiles])
+    places = [(total - 1) * q for q in quantiles]
+    if total <= SETTLED:
+        return _settle(values, 0, places)
+    asked = [p for q in quantiles for p in (max(0.0, q - 2 * ERROR), min(1.0, q + 2 * ERROR))]
+    cuts = values.agg(F.percentile_approx("x", asked, int(1 / ERROR)).alias("p")).first().p
+    brackets = list(zip(cuts[::2], cuts[1::2]))
+    inside = [F.col("x").between(low, high) for low, high in brackets]
+    counts = values.agg(*[F.count_if(F.col("x") < low).alias(f"b{i}") for i, (low, _) in enumerate(brackets)], *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(inside)]).first()
+    small = [i for i, p in enumerate(places) if counts[f"n{i}"] <= SETTLED and counts[f"b{i}"] <= math.floor(p) and min(math.floor(p) + 1, total - 1) < counts[f"b{i}"] + counts[f"n{i}"]]
+    held = sorted(r.x for r in values.filter(reduce(or_, [inside[i] for i in small])).collect()) if small else []
+    out = []
+    for i, (q, place) in enumerate(zip(quantiles, places)):
+        if i not in small:
+            out.append(_one(values, total, q))
+            continue
+        first = bisect_left(held, brackets[i][0]) + math.floor(place) - counts[f"b{i}"]
+        low, high = held[first], held[min(first + 1, len(held) - 1)]
+        out.append(low + (high - low) * (place - math.floor(place)))
+    return out
 
 
 def _settle(rows: DataFrame, below: int, places: list[float]) -> list[float]:

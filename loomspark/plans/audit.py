@@ -13,7 +13,7 @@ from ..functions.dialect import Dialect, catalogue
 DURATION = "(1.0 + (doc_id * 37 % 390) / 10.0)"
 HISTOGRAM_EDGES = (0, 0.5, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 60)
 QUANTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
-LETTERS = "[^A-Za-zÀ-ÖØ-öø-ÿ]"
+LETTERS = "[^A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
 def manifest(d: Dialect) -> str:
@@ -21,7 +21,7 @@ def manifest(d: Dialect) -> str:
     return f"""
         SELECT idx, shard, body, duration, n_chars, n_letters, n_words, mos, CASE WHEN duration > 0 THEN CAST(n_letters AS DOUBLE) / duration ELSE 0 END AS rate FROM (
             SELECT x.doc_id AS idx, source AS shard, body, duration, {d.long('length(body)')} AS n_chars, {d.long(f"length({d.sub('body', LETTERS, '')})")} AS n_letters,
-                   {d.size(d.keep(d.split('body', '[ \t\n]+'), 'w', "w <> ''"))} AS n_words, CAST(2.5 + 0.5 * quality AS DOUBLE) AS mos
+                   {d.matches('body', '[^ \t\n]+')} AS n_words, CAST(2.5 + 0.5 * quality AS DOUBLE) AS mos
             FROM (SELECT doc_id, source, coalesce(text, '') AS body, CAST({DURATION} AS DOUBLE) AS duration FROM {d.t('documents')}) x
             LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {d.t('labels')} GROUP BY doc_id) l ON x.doc_id = l.doc_id) r"""
 
@@ -32,12 +32,17 @@ def rates(d: Dialect) -> str:
 
 
 def _percentiles(d: Dialect, x: str, name: str, rows: str) -> str:
+    qs = [q / 100 for q in QUANTILES]
     cuts = ", ".join(f"round({d.at('ps', str(i + 1))}, 4) AS p{q}" for i, q in enumerate(QUANTILES))
-    return f"SELECT '{name}' AS measure, {cuts}, mean, lowest, highest FROM (SELECT {d.pcts(x, [q / 100 for q in QUANTILES])} AS ps, round(avg({x}), 4) AS mean, round(min({x}), 4) AS lowest, round(max({x}), 4) AS highest FROM ({rows}) m) s"
+    return f"SELECT '{name}' AS measure, {cuts}, mean, lowest, highest FROM (SELECT {d.fitted(rows, x, qs) or d.pcts(x, qs)} AS ps, round(avg({x}), 4) AS mean, round(min({x}), 4) AS lowest, round(max({x}), 4) AS highest FROM ({rows}) m) s"
 
 
 def window(d: Dialect, rows: str) -> str:
-    return f"SELECT {d.at('ps', '1')} AS lo, {d.at('ps', '2')} AS hi FROM (SELECT {d.pcts('rate', (0.02, 0.98))} AS ps FROM ({rows}) w WHERE rate > 0) s"
+    """The bounds of the usual rates: fitted first, then literals of the plan that filters by them."""
+    positive = f"SELECT rate FROM ({rows}) w WHERE rate > 0"
+    ps = d.fitted(positive, "rate", (0.02, 0.98))
+    source = f"SELECT {ps} AS ps" if ps else f"SELECT {d.pcts('rate', (0.02, 0.98))} AS ps FROM ({positive}) p"
+    return f"SELECT {d.at('ps', '1')} AS lo, {d.at('ps', '2')} AS hi FROM ({source}) s"
 
 
 def tiers(d: Dialect, rows: str) -> str:
