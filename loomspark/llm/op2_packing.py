@@ -31,7 +31,7 @@ CAPACITY = 2048
 END_ID = 0
 SPECIAL = "<|endoftext|>"
 #: Pieces of one length ranked by one task.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 
 # Where both libraries' character classes are known to agree, the rank file's faster encoder serves.
 _PLAIN = re.compile("[\t\n\r -~À-ÿ]*")
