@@ -19,8 +19,8 @@ def canon(d: Dialect, x: str) -> str:
 
 
 def pairs(d: Dialect) -> str:
-    """idx, ref, hyp: a turn and the one after it, cut to bounded strings by the scoring operator's window."""
-    ref, hyp = (f"substring({canon(d, x)}, 1, 120)" for x in ("a.text", "b.text"))
+    """idx, ref, hyp: a turn and the one after it, whole."""
+    ref, hyp = (canon(d, x) for x in ("a.text", "b.text"))
     return f"SELECT a.conv_id * 100 + a.turn AS idx, {ref} AS ref, {hyp} AS hyp FROM {d.t('conversations')} a JOIN {d.t('conversations')} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 
 

@@ -1,26 +1,40 @@
 """Vectors: unit length, cosine pairs, centroids, nearest centroid, neighbourhoods, separation.
 
-Pairs follow the reference data's own order of size: they are taken over the rows whose id is
-divisible by ``PAIR_STEP`` (a sampling operator), never over all pairs of the table.
+Pair statistics are defined on a subsample without replacement: ``SAMPLE_ROWS`` vectors in the order of
+a hash of the id (all of them where there are fewer), so pairs do not grow with the table.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from ..functions.dialect import Dialect, catalogue
+from ..operators.clustering import upper_pairs
 
-PAIR_STEP = 10
+SAMPLE_ROWS = 2000
 RADIUS = 0.3
 
 
 def sample(d: Dialect) -> str:
-    return f"SELECT vec_id, embedding, label FROM {d.t('embeddings')} WHERE vec_id % {PAIR_STEP} = 0"
+    return f"SELECT vec_id, embedding, label FROM {d.t('embeddings')} ORDER BY (vec_id * 1103515245 + 12345) % 2147483648, vec_id LIMIT {SAMPLE_ROWS}"
 
 
 def pairs(d: Dialect) -> str:
     """Upper-triangle cosines of the sample; the vectors are unit length."""
+    if d.session is not None:
+        if "pairs" not in d.fits:
+            d.fits["pairs"] = f"loomspark_pairs_{uuid.uuid4().hex}"
+            upper_pairs(d.session.sql(sample(d)), SAMPLE_ROWS).createOrReplaceTempView(d.fits["pairs"])
+        return f"SELECT * FROM {d.fits['pairs']}"
     return f"SELECT a.vec_id AS u, b.vec_id AS v, a.label AS la, b.label AS lb, {d.dot('a.embedding', 'b.embedding')} AS cosine FROM ({sample(d)}) a JOIN ({sample(d)}) b ON a.vec_id < b.vec_id"
 
 
+def _cuts(d: Dialect, qs) -> str:
+    """One row: ps, the percentiles of the sample's cosines."""
+    fitted = d.fitted(pairs(d), "cosine", qs)
+    return f"SELECT {fitted} AS ps" if fitted else f"SELECT {d.pcts('cosine', qs)} AS ps FROM ({pairs(d)}) p"
+
+
 def components(d: Dialect) -> str:
     """label, pos (from 0), x: one row per component."""
     if d.spark:
@@ -48,8 +62,10 @@ TEXTS = {
     # J8 C2
     "cosine_pairs": lambda d: f"SELECT u, v, round(cosine, 6) AS cosine FROM ({pairs(d)}) p",
     # A15 A16
-    "pair_percentiles": lambda d: "SELECT " + ", ".join(f"round({d.pct('cosine', q / 100)}, 6) AS p{q}" for q in (1, 5, 25, 50, 75, 95, 99)) + f" FROM ({pairs(d)}) p",
-    "derived_thresholds": lambda d: " UNION ".join(f"SELECT round(1 - {d.pct('cosine', q / 100)}, 3) AS threshold FROM ({pairs(d)}) p" for q in (85, 90, 93, 95, 97, 98, 99, 99.5)),
+    "pair_percentiles": lambda d: "SELECT " + ", ".join(f"round({d.at('ps', str(i + 1))}, 6) AS p{q}" for i, q in enumerate((1, 5, 25, 50, 75, 95, 99))) + f" FROM ({_cuts(d, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))}) s",
+    "derived_thresholds": lambda d: f"""
+        SELECT DISTINCT round(1 - x, 3) AS threshold FROM (
+            SELECT {'explode' if d.spark else 'unnest'}(ps) AS x FROM ({_cuts(d, (0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99, 0.995))}) s) t""",
     # A17
     "centroids": lambda d: f"SELECT label, round({d.dot('c', 'c')}, 6) AS norm, round({d.at('c', '1')}, 6) AS first_x, round({d.at('c', '64')}, 6) AS last_x FROM ({centroids(d)}) k",
     # A18
@@ -60,8 +76,8 @@ TEXTS = {
             SELECT vec_id, label, cosine, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, label) AS k FROM ({scores(d)}) s) r WHERE k = 1""",
     # J10 O4
     "neighbour_counts": lambda d: f"""
-        SELECT vec_id, count(v) AS n FROM ({sample(d)}) s LEFT JOIN (
-            SELECT u, v FROM ({pairs(d)}) p WHERE cosine > {RADIUS} UNION ALL SELECT v, u FROM ({pairs(d)}) q WHERE cosine > {RADIUS}) e ON vec_id = u GROUP BY vec_id""",
+        SELECT vec_id, count(spot) AS n FROM ({sample(d)}) s LEFT JOIN (
+            SELECT {'explode' if d.spark else 'unnest'}({d.array('u', 'v')}) AS spot FROM ({pairs(d)}) p WHERE cosine > {RADIUS}) e ON vec_id = spot GROUP BY vec_id""",
     # A20
     "core_tightening": lambda d: f"""
         SELECT round(iqr_all, 6) AS iqr_all, round(iqr_core, 6) AS iqr_core, round(100 * (1 - iqr_core / iqr_all), 4) AS tightening FROM (
