@@ -2,14 +2,12 @@
 
 Images of equal bytes collapse first. The rest get corners at several scales (Harris response,
 local maxima), an orientation from the intensity centroid, and 256 binary tests turned to that
-orientation. Tables keyed by fixed samples of the bits join descriptors of different images: every
-entry of a bucket meets the bucket's least image, so a bucket gives a pair per entry, not per pair
-of entries, and minima combine before their shuffle. Matches close in full Hamming distance vote
-for the similarity that carries one corner onto the other; images agree if enough corners vote for
+orientation. Tables keyed by fixed samples of the bits join descriptors of different images: all
+entries of a bucket meet, in blocks where it is large, and only pairs close in full Hamming
+distance leave the comparison. These matches vote for the similarity that carries one corner onto the other; images agree if enough corners vote for
 one scale, rotation and shift. Agreements and equal bytes are joined into components.
 
-A bucket's least image stands for it, so two images can be linked through a third; the bit samples
-make the candidate search approximate, with recall measured in the tests.
+Two images can be linked through a third; the bit samples make the candidate search approximate, with recall measured in the tests.
 
 Edge cases: null or undecodable media have no corners and are copies of nothing but equal bytes
 (nulls: of nothing); flat images likewise; ties take the smaller id; repeated rows of an id are
@@ -40,6 +38,8 @@ PATCH, REACH, BORDER = 7, 9, 11
 TABLES, TABLE_BITS = 6, 44
 #: Full Hamming distance of a match, at most; corners that must vote for one similarity.
 MAX_DISTANCE, LEAST_VOTES = 48, 4
+#: Entries of a bucket beyond which it is dealt in blocks; pairs compared at once; partitions of the comparison, at least.
+BUCKET_ROWS, PAIR_ROWS, MATCH_PARTITIONS = 2_000, 1 << 18, 48
 #: Votes fall in bins of this rotation (degrees), scale (octaves) and shift (pixels), on two grids half a bin apart.
 ROTATION_BIN, SCALE_BIN, SHIFT_BIN = 30.0, 0.6, 10.0
 
@@ -225,24 +225,62 @@ def features(media: DataFrame) -> DataFrame:
     return media.select("media_id", "media").mapInArrow(run, FEATURES)
 
 
+def bucket_pairs(cell: np.ndarray, label: np.ndarray, media: np.ndarray, corner: np.ndarray, desc: np.ndarray):
+    """Pairs of entries of a cell with different labels and images, within ``MAX_DISTANCE`` bits: media, corner, head_id, head_corner."""
+    order = np.lexsort((label, cell))
+    cell, label, media, corner, desc = (x[order] for x in (cell, label, media, corner, desc))
+    new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (label[1:] != label[:-1])))
+    later = np.append(np.flatnonzero(new)[1:], len(cell))[np.cumsum(new) - 1]  # the first entry of the next label
+    end = np.searchsorted(cell, cell, side="right")
+    at, step = np.flatnonzero(later < end), 0
+    while len(at):
+        for i in range(0, len(at), PAIR_ROWS):
+            one = at[i : i + PAIR_ROWS]
+            two = later[one] + step
+            near = (media[one] != media[two]) & (np.bitwise_count(desc[one] ^ desc[two]).sum(axis=1) <= MAX_DISTANCE)
+            one, two = one[near], two[near]
+            swap = media[one] < media[two]
+            one, two = np.where(swap, two, one), np.where(swap, one, two)
+            yield media[one], corner[one], media[two], corner[two]
+        step += 1
+        at = at[later[at] + step < end[at]]
+
+
 def matches(corner_rows: DataFrame) -> DataFrame:
     """Pairs of corners of different images that share a table key and are close in full distance.
 
-    Each corner meets a corner of the bucket's least image; buckets of one image go first. Only ids
-    and keys are shuffled until pairs are known.
+    All entries of a bucket meet; one of over ``BUCKET_ROWS`` entries is dealt in blocks, and each
+    pair of blocks is a cell of its own. Buckets of one image go first.
     """
+    spark = corner_rows.sparkSession
     entries = corner_rows.select("media_id", "corner", F.explode("keys").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("media_id").alias("lo"), F.max("media_id").alias("hi")).filter("lo < hi").select("key", "lo")
-    buckets = durable(buckets, "buckets")
-    shared = durable(entries.join(broadcast_if_small(buckets, buckets.count(), 16), "key"), "bucket-entries")
-    heads = shared.filter("media_id = lo").groupBy("key").agg(F.min("corner").alias("head_corner"))
-    pairs = shared.filter("media_id > lo").join(heads, "key").select("media_id", "corner", F.col("lo").alias("head_id"), "head_corner").distinct()
-    place = F.struct("x", "y", "scale", "angle", "desc")
-    own = corner_rows.select("media_id", "corner", place.alias("own"))
-    head = corner_rows.select(F.col("media_id").alias("head_id"), F.col("corner").alias("head_corner"), place.alias("head"))
+    buckets = entries.groupBy("key").agg(F.min("media_id").alias("lo"), F.max("media_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    buckets = durable(buckets.select("key", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks")), "buckets")
+    full = corner_rows.select("media_id", "corner", "desc", F.explode("keys").alias("key"))
+    shared = full.join(broadcast_if_small(buckets, buckets.count(), 16), "key")
+    block = F.pmod(F.xxhash64("media_id", "corner"), F.col("blocks")).cast("int")
+    other = F.explode(F.expr("sequence(0, blocks - 1)"))
+    cells = shared.withColumn("block", block).withColumn("other", other).select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
+        F.when(F.col("block") == F.col("other"), F.col("media_id")).otherwise(F.col("block")).alias("label"),
+        "media_id", "corner", *[F.col("desc")[i].alias(f"d{i}") for i in range(BITS // 64)],
+    )
+
+    def run(batches):
+        parts = [[b.column(c).to_numpy() for c in range(4 + BITS // 64)] for b in batches if b.num_rows]
+        if not parts:
+            return
+        cell, label, media, corner, *desc = (np.concatenate(x) for x in zip(*parts))
+        for pair in bucket_pairs(cell, label, media, corner, np.stack(desc, axis=1).view(np.uint64)):
+            if len(pair[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["media_id", "corner", "head_id", "head_corner"])
+
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), MATCH_PARTITIONS)
+    pairs = cells.repartition(partitions, "cell").mapInArrow(run, "media_id long, corner int, head_id long, head_corner int").distinct()
+    own = corner_rows.select("media_id", "corner", "x", "y", "scale", "angle")
+    head = corner_rows.select(F.col("media_id").alias("head_id"), F.col("corner").alias("head_corner"), F.struct("x", "y", "scale", "angle").alias("head"))
     both = pairs.join(own, ["media_id", "corner"]).join(head, ["head_id", "head_corner"])
-    apart = sum((F.bit_count(F.col("own.desc")[i].bitwiseXOR(F.col("head.desc")[i])) for i in range(BITS // 64)), F.lit(0))
-    return both.filter(apart <= MAX_DISTANCE).select("media_id", "corner", "own.x", "own.y", "own.scale", "own.angle", "head_id", "head")
+    return both.select("media_id", "corner", "x", "y", "scale", "angle", "head_id", "head")
 
 
 def agreements(pairs: DataFrame) -> DataFrame:
