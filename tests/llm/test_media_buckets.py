@@ -1,5 +1,6 @@
 """All partners of a bucket meet, whatever images of smaller id share it."""
 
+import numpy as np
 import pytest
 from loomspark.llm import op10_media
 
@@ -13,3 +14,13 @@ def test_partners_behind_an_unrelated_head(spark, monkeypatch, rows):
     found = op10_media.matches(spark.createDataFrame(data, op10_media.FEATURES)).collect()
     got = sorted((r.media_id, int(r.y), r.head_id, int(r.head.y)) for r in found)
     assert got == [(3, 0, 2, 0), (3, 1, 1, 0), (4, 0, 2, 0), (4, 0, 3, 0), (4, 1, 2, 0), (4, 1, 3, 0)]
+
+
+def test_tables_meet_over_the_radius():
+    rng = np.random.default_rng(2)
+    for flipped, least in ((8, 0.85), (13, 0.6), (20, 0.25)):
+        bits = np.array([rng.permutation(op10_media.BITS)[:flipped] for _ in range(3_000)])
+        met = np.zeros(len(bits), dtype=bool)
+        for sample in op10_media._samples():
+            met |= ~np.isin(bits, sample).any(axis=1)
+        assert met.mean() >= least
