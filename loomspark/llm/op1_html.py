@@ -89,7 +89,7 @@ def blocks(page: str | None) -> list[Block]:
                 marks = sum(text.count(c) for c in ".!?")
                 path.update((f"parent:{parent}", f"length:{_bin(n, (15, 40, 80, 160, 400))}", f"links:{_bin(share, (0.01, 0.3, 0.7))}", f"marks:{min(marks, 3)}"))
                 path.add("bare" if not path & _MARKED else "marked")
-                path.update(f"says:{x}" for x in {m.lower() for m in _PHRASE.findall(text[:400])})
+                path.update(f"says:{x}" for x in {m.lower() for m in _PHRASE.findall(text)})
                 out.append(Block(text, tuple(path)))
             linked = 0
 
