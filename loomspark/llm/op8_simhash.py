@@ -57,11 +57,15 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
         ends, starts = ends[size - 1 :], starts[: len(words) - size + 1]
     else:
         ends, starts = ends[-1:], starts[:1]
-    digest, out, total = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), len(starts)
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends - 1).tolist())], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; zero for none."""
+    out, total = np.zeros(64, dtype=np.int64), len(hashes)
     for at in range(0, total, 65_536):
-        part = [digest(joined[a:b], SEED) for a, b in zip(starts[at : at + 65_536].tolist(), (ends[at : at + 65_536] - 1).tolist())]
-        bits = np.unpackbits(np.array(part, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        out += bits.sum(axis=0, dtype=np.int64)
+        out += np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(out * 2 > total).view(">u8")[0])
 
 
