@@ -132,16 +132,16 @@ def labelled_page(seed: int) -> tuple[str, list[tuple[str, int]]]:
         out.append("</header>" if inner else "")
     for _ in range(r.choice((1, 2, 3, 5, 8, 14))):
         kind = r.random()
-        if kind < 0.78:
+        if kind < 0.72:
             put("p", w.paragraph(), 1)
-        elif kind < 0.86:
+        elif kind < 0.80:
             put(r.choice(("h2", "h3")), " ".join(w.word() for _ in range(r.randint(1, 6))), 1)
-        elif kind < 0.91:
+        elif kind < 0.85:
             out.append("<ul>")
             for _ in range(r.randint(2, 4)):
                 put("li", w.sentence(), 1)
             out.append("</ul>")
-        elif kind < 0.94:
+        elif kind < 0.88:
             put(r.choice(("blockquote", "pre")), w.paragraph(), 1)
         elif opened:
             other(r.choice(("advert", "notice", "share", "form", "sidebar")), True)

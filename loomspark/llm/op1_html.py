@@ -8,8 +8,10 @@ layouts, once on the driver; pages are decoded by Viterbi in the tasks.
 
 Edge cases: null, empty and markup-free pages give the text their blocks hold (none: empty);
 unclosed and misnested tags, stray brackets and unended comments are read as browsers do, near
-enough; pages of any length are read whole; repeated rows give equal rows; other columns of the
-input are ignored.
+enough; pages of any length and depth are read whole, in time that follows their length; repeated
+rows give equal rows; other columns of the input are carried through, but for one named like the
+text. Embedded documents, drawings, templates and form controls are skipped with what they hold;
+formulas and the text of objects belong to the block around them.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from .html_pages import labelled_page
 TRAINING_PAGES = 1000
 ROUNDS = 200
 
-# A tag, a comment or a declaration; quantifiers are possessive, so a page is scanned in one pass.
+# A tag, a comment or a declaration. Quantifiers are possessive, and any tag matches that some bracket ends,
+# so up to the last bracket a page is scanned in one pass; beyond it only comments count.
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
+_UNENDED = re.compile(r"<!--|<!\[CDATA\[")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
-_RAW = frozenset("script style noscript template textarea iframe svg math object title select".split())
+_RAW = frozenset("script style noscript template textarea iframe svg title select".split())
 _BLOCK = frozenset(
     "html head body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav article section header footer aside main table thead tbody tfoot tr td th caption "
     "blockquote pre form fieldset figure figcaption address details summary button label legend hr dialog center".split()
@@ -65,14 +69,61 @@ def _bin(x: float, edges: tuple[float, ...]) -> int:
     return sum(x > e for e in edges)
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in its order, with their features."""
+class _Open:
+    """The open elements of a page: what a block needs of them costs no more the deeper it stands."""
+
+    def __init__(self, known=None):
+        self.known = known
+        self.stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []  # tag, its features, those of the innermost marked element
+        self.places: dict[str, list[int]] = {}
+        self.active: dict[str, int] = {}
+
+    def push(self, tag: str, attributes: str) -> None:
+        own = _own(tag, attributes)
+        inner = tuple(f"inner:{f}" for f in own) if len(own) > 1 or own[0] in _MARKED else self.inner
+        if self.known is not None:  # features without a weight say nothing, and there is no bound to their number
+            own = tuple(f for f in own if f in self.known or f in _MARKED)
+            inner = tuple(f for f in inner if f in self.known)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, own, inner))
+        for f in own:
+            self.active[f] = self.active.get(f, 0) + 1
+
+    def pop(self) -> None:
+        tag, own, _ = self.stack.pop()
+        self.places[tag].pop()
+        for f in own:
+            if self.active[f] == 1:
+                del self.active[f]
+            else:
+                self.active[f] -= 1
+
+    def close(self, names, borders=()) -> None:
+        """End the innermost element of these names, and all within it, unless a border stands between."""
+        last = lambda tags: max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        at = last(names)
+        if at >= 0 and at > last(borders):
+            while len(self.stack) > at:
+                self.pop()
+
+    @property
+    def tag(self) -> str:
+        return self.stack[-1][0] if self.stack else "none"
+
+    @property
+    def inner(self) -> tuple[str, ...]:
+        return self.stack[-1][2] if self.stack else ("inner:none",)
+
+
+def blocks(page: str | None, known=None) -> list[Block]:
+    """Leaf blocks of a page in its order, with their features; of ancestors only those ``known``, if given."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open(known)
     out: list[Block] = []
     parts: list[str] = []
     linked = anchors = 0
-    at = 0
+    at, length, last = 0, len(page), page.rfind(">")
+    unended: set[str] = set()  # skipped elements whose end the rest of the page lacks
 
     def flush() -> None:
         nonlocal linked
@@ -80,36 +131,25 @@ def blocks(page: str | None) -> list[Block]:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                path: set[str] = set()
-                path.update(*(own for _, own in stack))
-                parent = stack[-1][0] if stack else "none"
+                path = set(open_.active)
                 # The innermost ancestor that is named or marks a region says more than those around it.
-                path.update(f"inner:{f}" for f in next((own for _, own in reversed(stack) if len(own) > 1 or own[0] in _MARKED), ("none",)))
+                path.update(open_.inner)
                 n, share = len(text), linked / len(text)
                 marks = sum(text.count(c) for c in ".!?")
-                path.update((f"parent:{parent}", f"length:{_bin(n, (15, 40, 80, 160, 400))}", f"links:{_bin(share, (0.01, 0.3, 0.7))}", f"marks:{min(marks, 3)}"))
+                path.update((f"parent:{open_.tag}", f"length:{_bin(n, (15, 40, 80, 160, 400))}", f"links:{_bin(share, (0.01, 0.3, 0.7))}", f"marks:{min(marks, 3)}"))
                 path.add("bare" if not path & _MARKED else "marked")
                 path.update(f"says:{x}" for x in {m.lower() for m in _PHRASE.findall(text)})
                 out.append(Block(text, tuple(path)))
             linked = 0
 
-    def close(names: tuple[str, ...] | frozenset[str] | set[str], borders=()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in borders:
-                return
-
-    length = len(page)
     while at < length:
-        m = _MARKUP.search(page, at)
+        m = _MARKUP.search(page, at) if at <= last else _UNENDED.search(page, at)
         end = m.start() if m else length
         if end > at:
             parts.append(page[at:end])
             if anchors:
                 linked += end - at
-        if not m:
+        if not m or at > last:
             break
         at = m.end()
         tag = m[2]
@@ -121,10 +161,14 @@ def blocks(page: str | None) -> list[Block]:
                 anchors = max(0, anchors - 1)
             elif tag in _BLOCK:
                 flush()
-                close({tag})
+                open_.close((tag,))
             continue
         if tag in _RAW:
-            tail = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at) if not m[3].endswith("/") else None
+            tail = None
+            if tag not in unended and not m[3].endswith("/"):
+                tail = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                if not tail:
+                    unended.add(tag)
             if tail:
                 at = tail.end()
             elif tag in ("script", "style"):
@@ -137,11 +181,11 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             if tag in _ENDS:
                 same, borders = _ENDS[tag]
-                close(frozenset(same.split()), borders)
-            elif stack and stack[-1][0] == "p":
-                stack.pop()
+                open_.close(same.split(), borders)
+            elif open_.tag == "p":
+                open_.pop()
             if tag not in _VOID:
-                stack.append((tag, _own(tag, m[3])))
+                open_.push(tag, m[3])
     flush()
     return out
 
@@ -247,7 +291,7 @@ def default_model(pages: int = TRAINING_PAGES) -> Chain:
 
 
 def main_text(page: str | None, model: Chain) -> str:
-    cut = blocks(page)
+    cut = blocks(page, model.weights)
     return "\n\n".join([b.text for b, y in zip(cut, model.decode(cut)) if y])
 
 
