@@ -1,18 +1,21 @@
 """Nearest neighbours by a block matrix join of int8 tiles.
 
-Queries and candidates are dealt by a hash of the id into blocks of bounded size, and every block
-of queries meets every block of candidates once. In a tile both sides are rounded to int8 with a
-scale per vector; their integer products (exact in single precision) give each inner product to
-within ``|a'| |eb| + |ea| |b|``, ea and eb being what rounding lost. A pair survives if its upper
-bound reaches the query's k-th best: the k-th lower bound of the tile, or the k-th score that
-earlier tiles of the task left in the query's heap. Survivors alone are computed again in double
-precision from the original vectors, and heaps merge them. Nothing that could be among the k
-nearest is dropped, so recall is that of brute force.
+Every vector is rounded once to int8, with a scale and with the norms of what was kept and what was
+lost, and only that is read by the join: the queries pass in chunks of bounded bytes, sent to all
+tasks, while each task holds one block of candidates at a time. Candidates are never copied for the
+queries, nor shuffled. In a tile the integer products (exact in single precision) give each inner
+product to within ``|a'| |eb| + |ea| |b|``, ea and eb being what rounding lost. A pair survives if its
+upper bound reaches the query's k-th best lower bound, first of the task, then of all tasks. Survivors
+alone are computed again in double precision from the original vectors, and heaps merge them.
+Nothing that could be among the k nearest is dropped, so recall is that of brute force.
+
+A query is a row, and so is a candidate: of an id on several rows each row is searched for and found,
+and only the query's own row is left out. ``query_row`` tells the queries of one id apart.
 
 Edge cases: vectors that are null, empty, all zero, or hold a null or non-finite component take no
-part; vectors meet those of equal length only; an id on several rows stands once, for its least
-vector; ties go to the smaller id; with fewer candidates than k all are returned; an empty table
-gives no rows; other columns of the input are ignored.
+part, nor do rows without an id; vectors meet those of equal length only; ties go to the smaller id,
+then to the earlier row; with fewer candidates than k all are returned; an empty table gives no
+rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,23 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable
+from .common import durable
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
-#: Vectors of a block, about.
-BLOCK_ROWS = 4096
-#: Queries of a tile multiplied at once.
-TILE_ROWS = 512
-#: Survivors recomputed at once.
-RECHECK_ROWS = 1 << 16
+#: Candidates of a block and of a task, about; queries of a tile multiplied at once.
+BLOCK_ROWS, TASK_ROWS, TILE_ROWS = 4096, 1 << 18, 512
+#: Bytes of a chunk of queries that is sent to all tasks, and its rows, at most.
+CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 1 << 16
+#: Survivors held before those that later blocks have ruled out go.
+HELD_ROWS = 1 << 21
+
+CODES = "row long, dim int, code binary, scale double, kept double, lost double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vector (array of double) of the rows that take part, one for each id."""
+    """row (a number of its own), vec_id and vector (array of double) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).filter(fine).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    named = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector"))
+    return named.filter(fine).select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector")
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,80 +65,163 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def survivors(query: np.ndarray, cand: np.ndarray, own: np.ndarray, least: np.ndarray, k: int):
-    """Pairs (query row, candidate row) that can be among the k nearest, in pieces.
-
-    ``own`` is the candidate row that is the query itself, or -1; ``least`` what a pair must reach.
-    """
-    cc, cs, cn, ce = quantise(cand)
-    for at in range(0, len(query), TILE_ROWS):
-        part = query[at : at + TILE_ROWS]
-        qc, qs, qn, qe = quantise(part)
-        near = products(qc, cc) * qs[:, None] * cs
-        size = np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(cand, axis=1)
-        error = qn[:, None] * ce + qe[:, None] * (cn + ce) + 1e-12 * size
-        mine = own[at : at + TILE_ROWS]
-        rows = np.flatnonzero(mine >= 0)
-        near[rows, mine[rows]] = -np.inf
-        floor = least[at : at + TILE_ROWS].copy()
-        if len(cand) > k:
-            floor = np.maximum(floor, np.partition(near - error, len(cand) - k, axis=1)[:, len(cand) - k])
-        row, col = np.nonzero((near + error >= floor[:, None]) & np.isfinite(near))
-        for s in range(0, len(row), RECHECK_ROWS):
-            yield row[s : s + RECHECK_ROWS] + at, col[s : s + RECHECK_ROWS]
-
-
-def _block(column) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of the one block in a column of a single row."""
-    rows = column.flatten()
-    ids, vectors = rows.field("vec_id"), rows.field("vector")
-    return ids.to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+def encode(rows: DataFrame) -> DataFrame:
+    """``CODES`` of ``rows`` (row, vector)."""
 
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("vector")
+            dims = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(dims)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                codes, scale, kept, lost = quantise(flat[(ends[at] - dim)[:, None] + np.arange(dim)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").take(pa.array(at)), pa.array(dims[at].astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(kept), pa.array(lost)],
+                    ["row", "dim", "code", "scale", "kept", "lost"],
+                )
+
+    return rows.select("row", "vector").mapInArrow(run, CODES)
+
+
+class Side:
+    """Codes of one length, with their scales and norms."""
+
+    def __init__(self, row, code: bytes, scale, kept, lost):
+        self.row, self.scale, self.kept, self.lost = row, scale, kept, lost
+        self.code = np.frombuffer(code, np.int8).reshape(len(row), -1)
+
+
+def tile(query: Side, part: slice, cand: Side) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner products of some queries and a block; a query's own row has none above minus infinity."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = products(query.code[part], cand.code) * query.scale[part, None] * cand.scale
+        whole = cand.kept + cand.lost
+        error = query.kept[part, None] * cand.lost + query.lost[part, None] * whole + 1e-12 * (query.kept[part] + query.lost[part])[:, None] * whole
+        lower, upper = np.nan_to_num(near - error, nan=-np.inf), np.nan_to_num(near + error, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+    order = np.argsort(cand.row)
+    place = np.minimum(np.searchsorted(cand.row, query.row[part], sorter=order), len(order) - 1)
+    own = np.flatnonzero(cand.row[order[place]] == query.row[part])
+    lower[own, order[place[own]]] = upper[own, order[place[own]]] = -np.inf
+    return lower, upper
+
+
+def bounded(query: Side, blocks, k: int):
+    """Arrays query, candidate (rows), lower and upper of the pairs that can be among a query's k nearest in ``blocks``."""
+    best = np.full((len(query.row), k), -np.inf)  # the k largest lower bounds so far
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+
+    def pruned():
+        q, c, lower, upper = (np.concatenate(x) for x in zip(*held))
+        ok = upper >= best[q].min(axis=1)
+        return q[ok], c[ok], lower[ok], upper[ok]
+
+    for cand in blocks:
+        for at in range(0, len(query.row), TILE_ROWS):
+            part = slice(at, min(at + TILE_ROWS, len(query.row)))
+            lower, upper = tile(query, part, cand)
+            both = np.concatenate([best[part], lower], axis=1)
+            best[part] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            row, col = np.nonzero((upper >= best[part].min(axis=1)[:, None]) & (upper > -np.inf))
+            held.append((row + at, cand.row[col], lower[row, col], upper[row, col]))
+            count += len(row)
+            if count > HELD_ROWS:
+                held = [pruned()]
+                if len(held[0][0]) > HELD_ROWS // 2:  # nearly all are ties: they go out as they are
+                    q, *rest = held.pop()
+                    yield query.row[q], *rest
+                count = sum(len(h[0]) for h in held)
+    if held:
+        q, *rest = pruned()
+        yield query.row[q], *rest
+
+
+def passed(codes: DataFrame, chunk: list, k: int) -> DataFrame:
+    """Pairs query, cand, lower and upper of one chunk of queries against all of ``codes``."""
+    dim = chunk[0]["dim"]
+    columns = [np.array([r[c] for r in chunk]) for c in ("row", "scale", "kept", "lost")]
+    sent = codes.sparkSession.sparkContext.broadcast((columns, b"".join(bytes(r["code"]) for r in chunk)))
 
-def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest; ``is_query`` is a predicate on vec_id."""
-    rows = durable(usable(vectors).withColumn("dim", F.size("vector")), "vectors")
-    n, nq = rows.count(), rows.filter(is_query).count()
-    n_cand, n_query = max(1, -(-n // BLOCK_ROWS)), max(1, -(-nq // BLOCK_ROWS))
-    pair = F.collect_list(F.struct("vec_id", "vector"))
-    cand = rows.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(n_cand)).alias("cb")).agg(pair.alias("cand"))
-    query = rows.filter(is_query).groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(n_query)).alias("qb")).agg(pair.alias("query"))
-    tiles = cand.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))))
-    # Each query block of a length meets each candidate block: a stated query set against all rows, in blocks.
-    bytes_each = 8 * (rows.agg(F.max("dim")).first()[0] or 0) + 16
-    tiles = tiles.repartition(min(4096, n_cand * n_query), "dim", "cb", "qb").join(broadcast_if_small(query, nq, bytes_each), ["dim", "qb"])
+    def run(batches):
+        (row, *rest), code = sent.value
+
+        def blocks():
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK_ROWS):
+                    part = batch.slice(at, BLOCK_ROWS)
+                    yield Side(part.column(0).to_numpy(), b"".join(part.column(1).to_pylist()), *(part.column(c).to_numpy() for c in (2, 3, 4)))
+
+        for out in bounded(Side(row, code, *rest), blocks(), k):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query", "cand", "lower", "upper"])
+
+    return codes.filter(F.col("dim") == dim).select("row", "code", "scale", "kept", "lost").mapInArrow(run, "query long, cand long, lower double, upper double")
+
+
+def rescored(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """query, query_id, vec_id, cand and score of the k best of each task's ``pairs`` (query, cand), in double precision."""
+    cand = rows.select(F.col("row").alias("cand"), "vec_id", F.col("vector").alias("c"))
+    query = rows.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vector").alias("q"))
+    both = pairs.select("query", "cand").join(cand, "cand").join(query, "query").select("query", "query_id", "vec_id", "cand", "q", "c")
 
     def run(batches):
-        heaps: dict[int, list[tuple[float, int]]] = {}
+        heaps: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
 
         def emit():
-            out = [(q, -i, s) for q, heap in heaps.items() for s, i in heap]
+            out = [(*q, -i, -r, s) for q, heap in heaps.items() for s, i, r in heap]
             heaps.clear()
-            columns = zip(*out) if out else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+            columns = zip(*out) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query", "query_id", "vec_id", "cand", "score"])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.slice(i, 1)
-                (qid, q), (cid, c) = (_block(part.column(name)) for name in ("query", "cand"))
-                place = {int(v): j for j, v in enumerate(cid)}
-                own = np.array([place.get(int(v), -1) for v in qid])
-                least = np.array([heaps[v][0][0] if len(heaps.get(v, ())) == k else -np.inf for v in qid.tolist()])
-                for row, col in survivors(q, c, own, least, k):
-                    score = np.einsum("ij,ij->i", q[row], c[col])
-                    for v, s, j in zip(qid[row].tolist(), score.tolist(), cid[col].tolist()):
-                        heap = heaps.setdefault(v, [])
-                        if len(heap) < k:
-                            heapq.heappush(heap, (s, -j))
-                        elif (s, -j) > heap[0]:
-                            heapq.heapreplace(heap, (s, -j))
-                if len(heaps) > 4 * BLOCK_ROWS:
-                    yield emit()
+            q, c = (batch.column(n) for n in ("q", "c"))
+            product = q.flatten().to_numpy(zero_copy_only=False) * c.flatten().to_numpy(zero_copy_only=False)
+            dims = q.value_lengths().to_numpy(zero_copy_only=False)
+            score = np.add.reduceat(product, np.cumsum(dims) - dims) if len(dims) else product
+            for query, name, i, r, s in zip(*(batch.column(n).to_pylist() for n in ("query", "query_id", "vec_id", "cand")), score.tolist()):
+                heap = heaps.setdefault((query, name), [])
+                if len(heap) < k:
+                    heapq.heappush(heap, (s, -i, -r))
+                elif (s, -i, -r) > heap[0]:
+                    heapq.heapreplace(heap, (s, -i, -r))
+            if len(heaps) > CHUNK_ROWS:
+                yield emit()
         yield emit()
 
-    found = tiles.select("query", "cand").mapInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.mapInArrow(run, "query long, query_id long, vec_id long, cand long, score double")
+
+
+def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS) -> DataFrame:
+    """query_id, rank, vec_id, score, query_row of each query's k nearest; ``is_query`` is a predicate on vec_id."""
+    spark = vectors.sparkSession
+    rows = durable(usable(vectors).withColumn("asked", is_query), "vectors")
+    # Of equal vectors only the first k and one more, which may be the query itself, can be among k nearest.
+    equal = Window.partitionBy("vector").orderBy("vec_id", "row")
+    met = rows.withColumn("at", F.row_number().over(equal)).filter(F.col("at") <= k + 1)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    codes = durable(encode(met).repartition(tasks), "codes")
+    asked = durable(encode(rows.filter("asked")), "query-codes")
+    spread = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = None
+    for dim, n in sorted(spread.items()):
+        chunks = -(-n // max(1, min(CHUNK_ROWS, CHUNK_BYTES // (dim + 40))))
+        dealt = asked.filter(F.col("dim") == dim).withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
+        for at in range(chunks):
+            chunk = sorted(dealt.filter(F.col("chunk") == at).select("row", "dim", "code", "scale", "kept", "lost").collect())
+            if chunk:
+                some = passed(codes, chunk, k)
+                found = some if found is None else found.unionByName(some)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_row long")
+    found = durable(found, "bounds")
+    # The k-th best lower bound over all tasks rules out most of what single tasks had to keep.
+    floors = found.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("lower")))).filter(F.col("at") == k).select("query", F.col("lower").alias("floor"))
+    left = durable(found.join(floors, "query", "left").filter("floor IS NULL OR upper >= floor").select("query", "cand"), "survivors")
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "cand")
+    ranked = rescored(left, rows, k).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.col("query").alias("query_row"))
 
 
 def op6_ann(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from loomspark.llm import op1_html, op6_ann, op10_media
 from loomspark.llm.html_pages import labelled_page
@@ -48,36 +49,48 @@ def test_extract(spark):
     assert op1_html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
-def test_neighbours_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(op6_ann, "BLOCK_ROWS", 64)
+@pytest.mark.parametrize("small", (False, True))
+def test_neighbours_against_brute_force(spark, monkeypatch, small):
+    if small:
+        for name, value in (("BLOCK_ROWS", 64), ("TILE_ROWS", 3), ("CHUNK_ROWS", 7), ("HELD_ROWS", 500)):
+            monkeypatch.setattr(op6_ann, name, value)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 24)).astype(np.float32)
     x[50:90] = x[0]  # ties
-    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    bad = [(1000, None, 1), (1020, [0.0] * 24, 1), (1040, [float("nan")] + [1.0] * 23, 1), (1060, [None] + [1.0] * 23, 1), (1080, [], 1), (1100, [float("inf")] * 24, 1)]
+    ids = np.arange(400)
+    ids[390:] = ids[:10]  # ids on two rows with different vectors, queries among them
+    rows = [(int(i), v.tolist(), 1) for i, v in zip(ids, x)]
+    bad = [(1000, None, 1), (1020, [0.0] * 24, 1), (1040, [float("nan")] + [1.0] * 23, 1), (1060, [None] + [1.0] * 23, 1), (1080, [], 1), (1100, [float("inf")] * 24, 1), (None, [1.0] * 24, 1)]
     odd = [(2000, [1.0, 2.0], 1), (2001, [3.0, 1.0], 1)]
-    df = spark.createDataFrame(rows + rows[:30] + bad + odd, "vec_id long, embedding array<float>, score int")
+    all_rows = rows + rows[:3] + bad + odd  # and rows repeated whole
+    df = spark.createDataFrame(all_rows, "vec_id long, embedding array<float>, score int")
     got = {}
     for r in op6_ann.search(df, F.col("vec_id") % 20 == 0).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    d = x.astype(float)
-    for q in range(0, 400, 20):
-        score = np.einsum("ij,j->i", d, d[q])
-        order = [i for i in np.lexsort((np.arange(400), -np.round(score, 12))) if i != q][:20]
-        found = sorted(got[q])
-        assert [f[0] for f in found] == list(range(1, 21)) and [f[1] for f in found] == order
-        assert np.allclose([f[2] for f in found], score[order], rtol=0, atol=1e-12)
-    assert got[2000] == [(1, 2001, 5.0)] and set(got) == {*range(0, 400, 20), 2000}
+        got.setdefault((r.query_id, r.query_row), []).append((r.rank, r.vec_id, r.score))
+    d, names = np.concatenate([x, x[:3]]).astype(float), np.concatenate([ids, ids[:3]])
+    want = {}
+    for at in np.flatnonzero(names % 20 == 0):
+        score = np.einsum("ij,j->i", d, d[at])
+        order = [i for i in np.lexsort((names, -np.round(score, 12))) if i != at][:20]
+        want.setdefault(int(names[at]), []).append([(rank + 1, int(names[i]), round(float(score[i]), 9)) for rank, i in enumerate(order)])
+    found = {}
+    for (q, _), hits in got.items():
+        found.setdefault(q, []).append([(a, b, round(c, 9)) for a, b, c in sorted(hits)])
+    assert found.pop(2000) == [[(1, 2001, 5.0)]]
+    assert {q: sorted(v) for q, v in found.items()} == {q: sorted(v) for q, v in want.items()} and len(want[0]) == 3
     assert op6_ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
 def test_int8_bounds_hold():
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(50, 33)), rng.normal(size=(70, 33)) * rng.uniform(0.01, 9, (70, 1))
-    qa, sa, na, ea = op6_ann.quantise(a)
-    qb, sb, nb, eb = op6_ann.quantise(b)
-    error = np.abs(op6_ann.products(qa, qb) * sa[:, None] * sb - a @ b.T)
-    assert (error <= na[:, None] * eb + ea[:, None] * (nb + eb) + 1e-9).all()
+    b[3] *= 1e200
+    sides = []
+    for first, x in ((0, a), (100, b)):
+        codes, *rest = op6_ann.quantise(x)
+        sides.append(op6_ann.Side(np.arange(first, first + len(x)), codes.tobytes(), *rest))
+    lower, upper = op6_ann.tile(sides[0], slice(0, 50), sides[1])
+    assert ((lower <= a @ b.T) & (a @ b.T <= upper)).all()
 
 
 def scene(seed, n=140):
