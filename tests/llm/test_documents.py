@@ -19,8 +19,12 @@ def word():
     return "".join(RNG.choice("abcdefghij") for _ in range(5))
 
 
-def test_lines_against_brute_force(spark):
-    rows = []
+@pytest.mark.parametrize("dealt", (False, True))
+def test_lines_against_brute_force(spark, monkeypatch, dealt):
+    if dealt:  # no broadcast, and hosts of over seven pages in parts
+        monkeypatch.setattr(op5_line_dedup, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(op5_line_dedup, "SALT_PAGES", 7)
+    rows = [(1000, "a", "common line\n" * 3 + "x" * 300_000, 1), (1001, "a", "word " * 200_000, 1)]
     for i in range(300):
         host = RNG.choice(["a", "a", "b", None])
         lines = [" ".join(word() for _ in range(4)) for _ in range(RNG.randint(0, 4))]
