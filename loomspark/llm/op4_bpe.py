@@ -9,7 +9,8 @@ merged one step at a time. Normalisation is the tokenizer file's own.
 
 Edge cases: a null or empty text has no ids and decodes to the empty string; special token
 strings in a text become their ids, as the library does; repeated rows give equal rows; words
-of any length are encoded whole; other columns of the input are carried through untouched.
+of any length are encoded whole; other columns of the input are carried through, but for those
+named ``ids`` and ``decoded``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a generation of the cache between batches; its size costs time only.
-CACHE_WORDS = 250_000
+#: Words, and characters of them, in a generation of the cache between batches; its size costs time only.
+CACHE_WORDS, CACHE_CHARACTERS = 250_000, 8 << 20
 CACHE_PAIRS = 1_000_000
 #: Words up to so many bytes are merged on a plain list.
 SHORT_WORD = 40
@@ -92,6 +93,7 @@ class SpeculativeBpe:
         self.good_pairs: set[int] = set()
         self.failed = self.words = 0
         self.caches: dict[bool, tuple[dict, dict]] = {True: ({}, {}), False: ({}, {})}
+        self.cached = {True: 0, False: 0}
 
     def merge(self, word: str) -> list[int]:
         """Exact merging of one word of byte characters: lowest rank first, leftmost among equals."""
@@ -209,9 +211,11 @@ class SpeculativeBpe:
         """A cache of two generations: what the older one still serves moves to the newer one."""
         old, cache = self.caches[plain]
         if missing := set(words).difference(cache):
-            if len(cache) + len(missing) > CACHE_WORDS:
+            if len(cache) + len(missing) > CACHE_WORDS or self.cached[plain] > CACHE_CHARACTERS:
                 old, cache = self.caches[plain] = (cache, {})
+                self.cached[plain] = 0
                 missing = set(words)
+            self.cached[plain] += sum(map(len, missing))
             if again := [w for w in missing if w in old]:
                 cache.update((w, old[w]) for w in again)
                 missing.difference_update(again)
@@ -259,7 +263,7 @@ def default_path() -> str:
 
 
 def encode_decode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Add ``ids`` (array of int) and ``decoded`` (string) to a table with a text column."""
+    """``ids`` (array of int) and ``decoded`` (string) in place of the text column of a table."""
     path = path or default_path()
     columns = [c for c in df.columns if c not in (text, "ids", "decoded")]
 
