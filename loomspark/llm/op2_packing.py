@@ -31,7 +31,8 @@ CAPACITY = 2048
 END_ID = 0
 SPECIAL = "<|endoftext|>"
 #: Pieces of one length ranked by one task.
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 250
+BUCKET, BEFORE, RANK = "__loom_bucket", "__loom_before", "__loom_rank"
 
 # Where both libraries' character classes are known to agree, the rank file's faster encoder serves.
 _PLAIN = re.compile("[\t\n\r -~À-ÿ]*")
@@ -166,13 +167,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = spark.sparkContext.broadcast(plan_runs(histogram, capacity))
     buckets = [max(1, -(-histogram.get(n, 0) // BUCKET_ROWS)) for n in range(1, capacity + 1)]
     key = [c for c in ("doc_id", "piece") if c in pieces.columns] + [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(F.lit(buckets), F.col("length").cast("int"))))
+    dealt = pieces.withColumn(BUCKET, F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(F.lit(buckets), F.col("length").cast("int"))))
     before = (
-        dealt.groupBy("length", "_bucket").count()
-        .select("length", "_bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).alias("_before"))
+        dealt.groupBy("length", BUCKET).count()
+        .select("length", BUCKET, (F.sum("count").over(Window.partitionBy("length").orderBy(BUCKET)) - F.col("count")).alias(BEFORE))
     )
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*key)))
-    ranked = ranked.join(broadcast_if_small(before, sum(buckets), 24), ["length", "_bucket"])
+    ranked = dealt.withColumn(RANK, F.row_number().over(Window.partitionBy("length", BUCKET).orderBy(*key)))
+    ranked = ranked.join(broadcast_if_small(before, sum(buckets), 24), ["length", BUCKET])
     columns = pieces.columns
 
     def place(batches):
@@ -182,14 +183,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         order = np.argsort(starts)
         table, starts = table[order], starts[order]
         for batch in batches:
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False) - 1
+            rank = batch.column(RANK).to_numpy(zero_copy_only=False) - 1
             length = batch.column("length").to_numpy(zero_copy_only=False)
             run = table[np.searchsorted(starts, length * stride + rank, side="right") - 1]
             k = rank - run[:, 1]
             kept = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(run[:, 4] + k // run[:, 3]), pa.array(run[:, 5] + k % run[:, 3] * length)], [*columns, "sequence_id", "offset"])
 
-    ranked = ranked.select(*columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
+    ranked = ranked.select(*columns, (F.col(RANK) + F.col(BEFORE)).alias(RANK))
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
