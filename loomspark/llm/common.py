@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only while its rows, at the stated width, stay under this.
@@ -13,9 +13,14 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where none is."""
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Where it is unset a local one is set, but only if driver and executors are one process.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="loomspark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -43,7 +48,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.loom_path = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``durable`` that nothing reads any more: all that came of them is written."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.loom_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(table.loom_path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -60,14 +75,20 @@ def id_crc(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents of each class, in an order fixed by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int, size: int) -> DataFrame:
+    """doc_id, text and y of at most ``rows`` labelled documents of each class, of ``size`` bytes together at most.
 
-    ``keep`` is a predicate on ``doc_id`` (which folds may be learned from). The id list is
-    bounded by ``2 * rows``, so it is safe to broadcast against the documents.
+    They come in an order fixed by a hash of the id; texts of over a hundredth of ``size`` are left
+    out. ``keep`` is a predicate on ``doc_id`` (which folds may be learned from). An id labelled both
+    ways counts as 1; an id on several rows stands for its least text. The id list is bounded by
+    ``2 * rows``, so it is safe to broadcast against the documents.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & keep).select("doc_id", F.col(label).alias("y"))
     order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
     parts = [known.filter(F.col("y") == y).orderBy(*order).limit(rows) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
+    text = text_or_empty()
+    found = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= size // 100).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    so_far = F.sum("n").over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = found.select("doc_id", "y", F.octet_length("text").alias("n")).withColumn("n", so_far).filter(F.col("n") <= size).select("doc_id")
+    return found.join(F.broadcast(chosen), "doc_id")

@@ -9,11 +9,13 @@ many windows save at least so many bytes, for a ladder of savings, and the large
 logistic fit on pages that the dictionaries have not seen turns it into a probability, which sets
 the thresholds.
 
-Learning reads at most ``SAMPLE_ROWS`` labelled pages of each class, in the order of a hash of the
-id, and never the held-out fold. Every page is scored over its whole text.
+Learning reads at most ``SAMPLE_ROWS`` labelled pages of each class, of ``SAMPLE_BYTES`` together at
+most, in the order of a hash of the id, and never the held-out fold; all windows of these pages are
+learned from. Every page is scored over its whole text.
 
-Edge cases: null and empty texts have no windows and score as a page without evidence; where a
-class has no labelled page every score is the labelled share of class 1 (0 without labels);
+Edge cases: null and empty texts have no windows and score as a page without evidence; an id labelled
+both ways counts as toxic, and an id on several rows is learned once; a word of any length is one
+window, of which the last 256 KB find matches; where a class has no labelled page every score is the labelled share of class 1 (0 without labels);
 repeated rows get equal scores; very long texts are read window by window; other columns of the
 input are ignored.
 """
@@ -34,6 +36,8 @@ from .common import id_crc, labelled_sample, text_or_empty
 
 #: Labelled pages of each class that learning reads, at most.
 SAMPLE_ROWS = 3000
+#: Bytes of the labelled pages of each class, at most; pages of over a hundredth of that are not learned from.
+SAMPLE_BYTES = 24 << 20
 #: Words of a window, and words from one window to the next.
 WINDOW, STRIDE = 6, 3
 ORDINARY_BYTES = 1 << 16
@@ -91,7 +95,7 @@ def _windows(words: list[str], stride: int = STRIDE) -> list[bytes]:
 def train_dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes]:
     rng = np.random.default_rng(0)
     samples = [w for p in ordinary for w in _windows(p, WINDOW)]
-    samples = [samples[i] for i in rng.permutation(len(samples))[:200_000]]
+    samples = [samples[i] for i in rng.permutation(len(samples))]
     common = _train(ORDINARY_BYTES, samples, 48)
     spans = toxic_spans(toxic, ordinary)
     ranked = sorted(spans, key=lambda w: (spans[w], w))
@@ -166,7 +170,7 @@ def score_text(text: str | None, model: ToxicityModel) -> float:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     keep = id_crc() % 4 != 2
-    sample = labelled_sample(docs, labels, "toxic", keep, sample_rows).collect()
+    sample = labelled_sample(docs, labels, "toxic", keep, sample_rows, SAMPLE_BYTES).collect()
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & keep).groupBy("toxic").count().collect()
     return fit([(r["doc_id"], r["text"], r["y"]) for r in sample], {r["toxic"]: r["count"] for r in known})
 

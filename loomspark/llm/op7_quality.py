@@ -29,6 +29,8 @@ from .common import id_crc, labelled_sample, text_or_empty
 from .op3_toxicity import fit_logistic
 
 SAMPLE_ROWS = 8000
+#: Bytes of the labelled pages of each class, at most; pages of over a hundredth of that are not learned from.
+SAMPLE_BYTES = 256 << 20
 #: Weight of the pooled covariance in a class's, and of its diagonal; and the least variance.
 SHRINK_POOLED, SHRINK_DIAGONAL, FLOOR = 0.1, 0.05, 1e-3
 CUTOFF = 0.3
@@ -132,7 +134,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([statistics(t.as_py()) for t in b.column("text")], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    sample = labelled_sample(docs, labels, "quality", keep, sample_rows).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
+    sample = labelled_sample(docs, labels, "quality", keep, sample_rows, SAMPLE_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
     rows = sorted((r["doc_id"], r["y"], r["x"]) for r in sample.mapInArrow(run, "doc_id long, y int, x array<double>").collect())
     # A fixed shuffle, so that what is kept back does not follow the order of ids.
     rows = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]
