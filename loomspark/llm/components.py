@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 MAX_ROUNDS = 60
 
@@ -30,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: long) to one row (node, component) for each node above its component's least node.
 
     ``component`` is the least node reachable; nodes that are their own least node have no row.
+    The steps a chain takes grow with the logarithm of its length; ``MAX_ROUNDS`` without an end raises.
     """
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = durable(edges, "edges")
@@ -39,5 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state["n"] == 0 or (state["n"], state["h"]) == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = (state["n"], state["h"])
-        edges = durable(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, durable(_small_star(_large_star(edges)), "edges")
+        release(old)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
