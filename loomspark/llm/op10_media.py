@@ -2,24 +2,38 @@
 
 Images of equal bytes collapse first. The rest get corners at several scales (Harris response,
 local maxima), an orientation from the intensity centroid, and 256 binary tests turned to that
-orientation. Tables keyed by fixed samples of the bits join descriptors of different images: all
-entries of a bucket meet, in blocks where it is large, and only pairs close in full Hamming
-distance leave the comparison. These matches vote for the similarity that carries one corner onto the other; images agree if enough corners vote for
-one scale, rotation and shift. Agreements and equal bytes are joined into components.
+orientation. Tables keyed by fixed samples of the bits join corners of different images; a pair of
+images with a corner pair within ``MAX_DISTANCE`` bits is proposed. A proposed pair is judged on all
+its corners: those within that distance vote for the similarity that carries one onto the other, and
+the images agree if enough corners vote for one scale, rotation and shift. Agreements and equal bytes
+are joined into components.
 
-Two images can be linked through a third; the bit samples make the candidate search approximate, with recall measured in the tests.
+Every bucket of a table is searched twice. First each entry meets the bucket's hub, the image with the
+most shared keys, so that a dense group of copies is joined by a pair per entry; then all entries of
+images not yet joined meet. A bucket of over ``BUCKET_ROWS`` entries is dealt in blocks, and each pair
+of blocks is a cell of its own. Buckets of one image go first.
 
-Edge cases: null or undecodable media have no corners and are copies of nothing but equal bytes
-(nulls: of nothing); flat images likewise; ties take the smaller id; repeated rows of an id are
-equal rows; an empty table gives no rows; other columns of the input are ignored.
+Two images can be linked through a third. The bit samples make the proposals approximate: a pair that
+agrees has ``LEAST_VOTES`` close corners at least, of which one has to share a key. The tests measure
+recall against all pairs.
+
+Media are binary PGM or PPM up to 8 bits, and PNG of 8 bits without interlace or palette; anything
+else counts as not decoded (``decoded`` is false) and is a copy of equal bytes only.
+
+Edge cases: null or undecodable media have no corners (nulls are copies of nothing); flat images
+likewise; ties take the smaller id; of an id on several rows each row is an image of its own; rows
+without an id go; an empty table gives no rows; other columns of the input are ignored.
 
 The given tables hold no images, so the query renders each row of ``embeddings`` to one.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
 import zlib
+from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
@@ -27,43 +41,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable
+from .common import broadcast_if_small, durable, release
 from .components import components
 
 SCALES = (1.0, 1.5, 2.25)
 BITS = 256
 #: Radius of the orientation patch, of the tests, and the border corners keep from the edge.
 PATCH, REACH, BORDER = 7, 9, 11
+#: Response of a corner, at least, as a share of the image's strongest.
+LEAST_RESPONSE = 0.1
 #: Bit samples (tables) and their width.
-TABLES, TABLE_BITS = 6, 32
+TABLES, TABLE_BITS = 6, 24
 #: Full Hamming distance of a match, at most; corners that must vote for one similarity.
-MAX_DISTANCE, LEAST_VOTES = 48, 4
-#: Entries of a bucket beyond which it is dealt in blocks; pairs compared at once; partitions of the comparison, at least.
-BUCKET_ROWS, PAIR_ROWS, MATCH_PARTITIONS = 2_000, 1 << 18, 48
+MAX_DISTANCE, LEAST_VOTES = 28, 4
+#: Entries of a bucket beyond which it is dealt in blocks; pairs compared at once; rows aimed at for a partition.
+BUCKET_ROWS, PAIR_ROWS, PARTITION_ROWS = 4_000, 1 << 18, 300_000
 #: Votes fall in bins of this rotation (degrees), scale (octaves) and shift (pixels), on two grids half a bin apart.
 ROTATION_BIN, SCALE_BIN, SHIFT_BIN = 30.0, 0.6, 10.0
+#: Digests a task remembers, so that equal images are described once.
+SEEN = 100_000
+
+
+_GAP = rb"(?:\s|#[^\n]*\n)+"
+_PNM = re.compile(rb"(P[56])" + _GAP + rb"(\d{1,6})" + _GAP + rb"(\d{1,6})" + _GAP + rb"(\d{1,5})\s")
 
 
 def decode(media: bytes | None) -> np.ndarray | None:
     """Grey image of a binary PGM or PPM, or of an 8-bit PNG without interlace; None for anything else."""
     try:
-        if media[:2] in (b"P5", b"P6"):
-            fields, at = [], 2
-            while len(fields) < 3:
-                while media[at : at + 1].isspace():
-                    at += 1
-                if media[at : at + 1] == b"#":
-                    at = media.index(b"\n", at)
-                    continue
-                end = at
-                while not media[end : end + 1].isspace():
-                    end += 1
-                fields.append(int(media[at:end]))
-                at = end
-            w, h, top = fields
-            planes = 1 if media[:2] == b"P5" else 3
-            pixels = np.frombuffer(media, np.uint8, w * h * planes, at + 1).reshape(h, w, planes)
-            return pixels.mean(axis=2).astype(np.float32) * (255.0 / top) if top <= 255 else None
+        if head := _PNM.match(media):
+            w, h, top = (int(head[k]) for k in (2, 3, 4))
+            planes = 1 if head[1] == b"P5" else 3
+            pixels = np.frombuffer(media, np.uint8, w * h * planes, head.end()).reshape(h, w, planes)
+            return pixels.mean(axis=2).astype(np.float32) * (255.0 / top) if 0 < top <= 255 else None
         if media[:8] == b"\x89PNG\r\n\x1a\n":
             return _decode_png(media)
     except (ValueError, IndexError, TypeError, struct.error, zlib.error, KeyError):
@@ -155,7 +165,7 @@ def corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     best = response
     for axis in (1, 2):
         best = np.maximum.reduce([np.roll(best, s, axis=axis) for s in (-2, -1, 0, 1, 2)])
-    strong = np.maximum(response.max(axis=(1, 2), keepdims=True) * 0.02, 25.0)
+    strong = np.maximum(response.max(axis=(1, 2), keepdims=True) * LEAST_RESPONSE, 25.0)
     found = (response == best) & (response > strong)
     found[:, :BORDER] = found[:, -BORDER:] = found[:, :, :BORDER] = found[:, :, -BORDER:] = False
     return np.nonzero(found)
@@ -189,147 +199,225 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-FEATURES = "media_id long, corner int, x float, y float, scale float, angle float, desc array<long>, keys array<long>"
+#: One row for each row of media. n: corners, -1 if not decoded, null if the task has described equal bytes before.
+DESCRIBED = "media_id long, digest binary, n int, spots binary, desc binary, keys array<int>"
 
 
-def features(media: DataFrame) -> DataFrame:
-    """One row per corner of every image of ``media`` (media_id, media)."""
+def described(media: DataFrame) -> DataFrame:
+    """``DESCRIBED`` of ``media`` (media_id, media): x, y, scale and angle (float) of each corner, its bits and its keys."""
 
     def run(batches):
+        seen: OrderedDict[bytes, None] = OrderedDict()
+
+        def row(blob, digest):
+            if blob is None:
+                return 0, None
+            if digest in seen:
+                seen.move_to_end(digest)
+                return None, None
+            seen[digest] = None
+            if len(seen) > SEEN:
+                seen.popitem(last=False)
+            image = decode(blob)
+            return (-1, None) if image is None or not image.size else (0, image)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                shapes: dict[tuple, list] = {}
-                for i, blob in enumerate(part.column(1)):
-                    image = decode(blob.as_py())
-                    if image is not None and image.size:
-                        shapes.setdefault(image.shape, []).append((i, image))
+                blobs = part.column(1).to_pylist()
+                digests = [None if b is None else hashlib.sha256(b).digest() for b in blobs]
+                out = [[None if d is None else d, *row(b, d), b"", b"", []] for b, d in zip(blobs, digests)]
+                shapes: dict[tuple, list[int]] = {}
+                for i, r in enumerate(out):
+                    if r[2] is not None:
+                        shapes.setdefault(r[2].shape, []).append(i)
                 for held in shapes.values():
-                    rows = np.array([i for i, _ in held])
-                    n, x, y, scale, angle, bits = describe(np.stack([m for _, m in held]))
-                    if not len(n):
-                        continue
-                    order = np.argsort(n, kind="stable")
-                    n, x, y, scale, angle, bits = (v[order] for v in (n, x, y, scale, angle, bits))
-                    first = np.searchsorted(n, n)
-                    desc = np.ascontiguousarray(np.packbits(bits, axis=1)).view(">i8").astype(np.int64)
-                    keys = np.stack([bits[:, s] @ (1 << np.arange(TABLE_BITS)) + (k << TABLE_BITS) for k, s in enumerate(_samples())], axis=1).astype(np.int64)
-                    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel()))
-                    floats = [pa.array(v.astype(np.float32)) for v in (x, y, scale, angle)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[rows[n]]), pa.array((np.arange(len(n)) - first).astype(np.int32)), *floats, lists(desc), lists(keys)],
-                        ["media_id", "corner", "x", "y", "scale", "angle", "desc", "keys"],
-                    )
-
-    return media.select("media_id", "media").mapInArrow(run, FEATURES)
-
-
-def bucket_pairs(cell: np.ndarray, label: np.ndarray, media: np.ndarray, corner: np.ndarray, desc: np.ndarray):
-    """Pairs of entries of a cell with different labels and images, within ``MAX_DISTANCE`` bits: media, corner, head_id, head_corner."""
-    order = np.lexsort((label, cell))
-    cell, label, media, corner, desc = (x[order] for x in (cell, label, media, corner, desc))
-    new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (label[1:] != label[:-1])))
-    later = np.append(np.flatnonzero(new)[1:], len(cell))[np.cumsum(new) - 1]  # the first entry of the next label
-    end = np.searchsorted(cell, cell, side="right")
+                    n, x, y, scale, angle, bits = describe(np.stack([out[i][2] for i in held]))
+                    spots = np.stack([x, y, scale, angle], axis=1).astype(np.float32)
+                    keys = np.stack([bits[:, s] @ (1 << np.arange(TABLE_BITS)) + (k << TABLE_BITS) for k, s in enumerate(_samples())], axis=1).astype(np.int32) if len(n) else np.zeros((0, TABLES), np.int32)
+                    packed = np.packbits(bits.astype(bool), axis=1)
+                    for k, i in enumerate(held):
+                        mine = np.flatnonzero(n == k)
+                        out[i][1], out[i][3:] = len(mine), [spots[mine].tobytes(), packed[mine].tobytes(), keys[mine].ravel()]
+                columns = [part.column(0), *(pa.array([r[k] for r in out], t) for k, t in ((0, pa.binary()), (1, pa.int32()), (3, pa.binary()), (4, pa.binary()), (5, pa.list_(pa.int32()))))]
+                yield pa.RecordBatch.from_arrays(columns, ["media_id", "digest", "n", "spots", "desc", "keys"])
+
+    return media.select("media_id", "media").mapInArrow(run, DESCRIBED)
+
+
+class Entries:
+    """Corners under the cells they stand in, as columns: cell, node, corner, label, hub and bits."""
+
+    def __init__(self, cell, node, corner, label, hub, bits):
+        self.columns = [cell, node, corner, label, hub, bits]
+        self.cell, self.node, self.corner, self.label, self.hub, self.bits = self.columns
+
+    def sorted(self, *by) -> Entries:
+        order = np.lexsort(by)
+        return Entries(*(c[order] for c in self.columns))
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of the pairs of entries (a, b) of different images within ``MAX_DISTANCE``."""
+        near = (self.node[a] != self.node[b]) & (np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(axis=1, dtype=np.int64) <= MAX_DISTANCE)
+        return self.node[a[near]], self.node[b[near]]
+
+
+def star_pairs(entries: Entries):
+    """Pairs of each entry with the hub of its cell."""
+    e = entries.sorted(entries.node, -entries.hub, entries.cell)
+    at = np.arange(len(e.cell))
+    for k in range(0, len(at), PAIR_ROWS):
+        yield e.close(at[k : k + PAIR_ROWS], np.searchsorted(e.cell, e.cell[k : k + PAIR_ROWS]))
+
+
+def cross_pairs(entries: Entries):
+    """All pairs of entries of a cell with different labels."""
+    e = entries.sorted(entries.label, entries.cell)
+    new = np.concatenate(([True], (e.cell[1:] != e.cell[:-1]) | (e.label[1:] != e.label[:-1])))
+    later = np.append(np.flatnonzero(new)[1:], len(e.cell))[np.cumsum(new) - 1]  # the first entry of the next label
+    end = np.searchsorted(e.cell, e.cell, side="right")
     at, step = np.flatnonzero(later < end), 0
     while len(at):
-        for i in range(0, len(at), PAIR_ROWS):
-            one = at[i : i + PAIR_ROWS]
-            two = later[one] + step
-            near = (media[one] != media[two]) & (np.bitwise_count(desc[one] ^ desc[two]).sum(axis=1) <= MAX_DISTANCE)
-            one, two = one[near], two[near]
-            swap = media[one] < media[two]
-            one, two = np.where(swap, two, one), np.where(swap, one, two)
-            yield media[one], corner[one], media[two], corner[two]
+        for k in range(0, len(at), PAIR_ROWS):
+            yield e.close(at[k : k + PAIR_ROWS], later[at[k : k + PAIR_ROWS]] + step)
         step += 1
         at = at[later[at] + step < end[at]]
 
 
-def matches(corner_rows: DataFrame) -> DataFrame:
-    """Pairs of corners of different images that share a table key and are close in full distance.
+def cells(entries: DataFrame, all_blocks: bool) -> DataFrame:
+    """``entries`` (key, m, node, corner, label, hub, desc) under the cells each stands in.
 
-    All entries of a bucket meet; one of over ``BUCKET_ROWS`` entries is dealt in blocks, and each
-    pair of blocks is a cell of its own. Buckets of one image go first.
+    A bucket of ``m`` entries, too many, is dealt in blocks by the label. With ``all_blocks`` an entry
+    stands in a cell for each block, so that every two blocks meet; without, in its own block's cell,
+    and the hubs of the blocks in the bucket's.
     """
-    spark = corner_rows.sparkSession
-    entries = corner_rows.select("media_id", "corner", F.explode("keys").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("media_id").alias("lo"), F.max("media_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    buckets = durable(buckets.select("key", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks")), "buckets")
-    full = corner_rows.select("media_id", "corner", "desc", F.explode("keys").alias("key"))
-    shared = full.join(broadcast_if_small(buckets, buckets.count(), 16), "key")
-    block = F.pmod(F.xxhash64("media_id", "corner"), F.col("blocks")).cast("int")
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    cells = shared.withColumn("block", block).withColumn("other", other).select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-        F.when(F.col("block") == F.col("other"), F.col("media_id")).otherwise(F.col("block")).alias("label"),
-        "media_id", "corner", *[F.col("desc")[i].alias(f"d{i}") for i in range(BITS // 64)],
-    )
+    columns = ["node", "corner", "label", "hub", "desc"]
+    few = entries.filter(F.col("m") <= BUCKET_ROWS).select(F.col("key").cast("long").alias("cell"), *columns)
+    many = entries.filter(F.col("m") > BUCKET_ROWS).withColumn("blocks", F.ceil(F.col("m") / BUCKET_ROWS).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
+    if all_blocks:
+        met = many.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        return few.unionByName(met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), *columns))
+    hubs = many.groupBy("key", "block").agg(F.max(F.struct("hub", "node", "corner", "label", "desc")).alias("h")).select(F.col("key").cast("long").alias("cell"), *(F.col(f"h.{c}") for c in columns))
+    return few.unionByName(many.select(F.xxhash64("key", "block").alias("cell"), *columns)).unionByName(hubs)
+
+
+def proposals(entries: DataFrame, rows: int, pairs, all_blocks: bool) -> DataFrame:
+    """Pairs (u, v), u > v, of images with a close pair of corners that ``pairs`` finds in the cells."""
+    partitions = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
 
     def run(batches):
-        parts = [[b.column(c).to_numpy() for c in range(4 + BITS // 64)] for b in batches if b.num_rows]
+        parts = []
+        for b in batches:
+            if b.num_rows:
+                bits = np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)
+                parts.append([*(b.column(c).to_numpy() for c in range(5)), bits])
         if not parts:
             return
-        cell, label, media, corner, *desc = (np.concatenate(x) for x in zip(*parts))
-        for pair in bucket_pairs(cell, label, media, corner, np.stack(desc, axis=1).view(np.uint64)):
-            if len(pair[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["media_id", "corner", "head_id", "head_corner"])
-
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), MATCH_PARTITIONS)
-    pairs = cells.repartition(partitions, "cell").mapInArrow(run, "media_id long, corner int, head_id long, head_corner int").distinct()
-    own = corner_rows.select("media_id", "corner", "x", "y", "scale", "angle")
-    head = corner_rows.select(F.col("media_id").alias("head_id"), F.col("corner").alias("head_corner"), F.struct("x", "y", "scale", "angle").alias("head"))
-    both = pairs.join(own, ["media_id", "corner"]).join(head, ["head_id", "head_corner"])
-    return both.select("media_id", "corner", "x", "y", "scale", "angle", "head_id", "head")
-
-
-def agreements(pairs: DataFrame) -> DataFrame:
-    """Edges (u, v) between images for which enough corners vote for one similarity."""
-    turn = F.pmod(F.col("head.angle") - F.col("angle"), F.lit(360.0))
-    grow = F.col("head.scale") / F.col("scale")
-    cos, sin = F.cos(F.radians(turn)), F.sin(F.radians(turn))
-    shift_x = F.col("head.x") - grow * (cos * F.col("x") - sin * F.col("y"))
-    shift_y = F.col("head.y") - grow * (sin * F.col("x") + cos * F.col("y"))
-    bins = F.array(*[
-        F.struct(
-            F.lit(g).alias("grid"),
-            F.pmod(F.floor(turn / ROTATION_BIN + g / 2), F.lit(int(360 / ROTATION_BIN))).alias("turn"),
-            F.floor(F.log2(grow) / SCALE_BIN + 0.5 + g / 2).alias("grow"),
-            F.floor(shift_x / SHIFT_BIN + g / 2).alias("sx"),
-            F.floor(shift_y / SHIFT_BIN + g / 2).alias("sy"),
-        )
-        for g in (0, 1)
-    ])
-    votes = pairs.select(F.col("media_id").alias("u"), F.col("head_id").alias("v"), "corner", F.explode(bins).alias("bin"))
-    # The same corner can match through several tables: it votes once.
-    once = votes.distinct().groupBy("u", "v", "bin").count().filter(F.col("count") >= LEAST_VOTES)
-    return once.select("u", "v").distinct()
+        found, held = [], 0
+
+        def packed():
+            two = np.concatenate(found, axis=1)
+            two = two[:, np.lexsort(two)]
+            two = two[:, np.concatenate(([True], (two[:, 1:] != two[:, :-1]).any(axis=0)))]
+            return pa.RecordBatch.from_arrays([pa.array(two[0].copy()), pa.array(two[1].copy())], ["u", "v"])
+
+        for a, b in pairs(Entries(*(np.concatenate(x) for x in zip(*parts)))):
+            if len(a):
+                found.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
+                held += len(a)
+            if held > PAIR_ROWS:
+                yield packed()
+                found, held = [], 0
+        if held:
+            yield packed()
+
+    return cells(entries, all_blocks).repartition(partitions, "cell").mapInArrow(run, "u long, v long").distinct()
+
+
+def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether enough corners of two images (spots, bits) vote for one similarity."""
+    (p, x), (q, y) = a, b
+    if not len(x) or not len(y):
+        return False
+    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None]).sum(axis=2, dtype=np.int64) <= MAX_DISTANCE)
+    if len(i) < LEAST_VOTES:
+        return False
+    p, q = p[i].astype(np.float64), q[j].astype(np.float64)
+    turn, grow = np.mod(q[:, 3] - p[:, 3], 360.0), q[:, 2] / p[:, 2]
+    cos, sin = np.cos(np.radians(turn)), np.sin(np.radians(turn))
+    shift_x = q[:, 0] - grow * (cos * p[:, 0] - sin * p[:, 1])
+    shift_y = q[:, 1] - grow * (sin * p[:, 0] + cos * p[:, 1])
+    for g in (0.0, 0.5):
+        bins = np.stack([np.mod(np.floor(turn / ROTATION_BIN + g), round(360 / ROTATION_BIN)), np.floor(np.log2(grow) / SCALE_BIN + 0.5 + g), np.floor(shift_x / SHIFT_BIN + g), np.floor(shift_y / SHIFT_BIN + g)], axis=1)
+        _, which = np.unique(bins, axis=0, return_inverse=True)
+        which = which.ravel()
+        # A corner votes once in a bin, on either side.
+        votes = [np.bincount(np.unique(np.stack([which, side]), axis=1)[0], minlength=which.max() + 1) for side in (i, j)]
+        if np.minimum(*votes).max() >= LEAST_VOTES:
+            return True
+    return False
+
+
+def agreements(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """A table of those ``pairs`` (u, v) of images that agree; ``pairs`` is a table that goes."""
+    own = classes.select("node", F.struct("spots", "desc").alias("image"))
+    both = pairs.join(own.withColumnsRenamed({"node": "u", "image": "one"}), "u").join(own.withColumnsRenamed({"node": "v", "image": "two"}), "v")
+
+    def image(spots, desc):
+        return np.frombuffer(spots, np.float32).reshape(-1, 4), np.frombuffer(desc, np.uint64).reshape(-1, BITS // 64)
+
+    def run(batches):
+        for batch in batches:
+            sides = [[image(s, d) for s, d in zip(*(batch.column(c).field(k).to_pylist() for k in (0, 1)))] for c in ("one", "two")]
+            yield batch.select(["u", "v"]).filter(pa.array([agree(a, b) for a, b in zip(*sides)], pa.bool_()))
+
+    links = durable(both.select("u", "v", "one", "two").mapInArrow(run, "u long, v long"), "agreements")
+    release(pairs)
+    return links
+
+
+def shared_entries(classes: DataFrame) -> DataFrame:
+    """key, m (its bucket's entries), node, corner, hub and desc of the corners of ``classes`` under keys of several images."""
+    entries = classes.select("node", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") / TABLES).cast("int").alias("corner"))
+    buckets = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
+    buckets = durable(buckets.select("key", "m"), "buckets")
+    shared = durable(entries.join(broadcast_if_small(buckets, buckets.count(), 16), "key"), "shared-keys")
+    hubs = shared.groupBy("node").agg(F.count(F.lit(1)).alias("hub"))
+    named = hubs.join(classes.select("node", "desc"), "node")
+    width = BITS // 8
+    bits = F.expr(f"substring(desc, corner * {width} + 1, {width})")
+    out = durable(shared.join(named, "node").select("key", "m", "node", "corner", "hub", bits.alias("desc")), "shared-corners")
+    release(buckets, shared)
+    return out
 
 
 def find_copies(media: DataFrame) -> DataFrame:
-    """media_id, n_corners, n_links (agreements of its class with others), component_id for each row of ``media`` (media_id, media)."""
+    """media_id, decoded, n_corners, n_links (agreements found of its class with others), component_id for each row of ``media`` (media_id, media)."""
     named = media.filter("media_id IS NOT NULL").select(F.col("media_id").cast("long").alias("media_id"), "media")
-    digest = F.when(F.col("media").isNotNull(), F.sha2("media", 256)).otherwise(F.concat(F.lit("null/"), F.col("media_id").cast("string")))
-    rows = durable(named.select("media_id", digest.alias("digest")), "digests")
-    heads = durable(rows.groupBy("digest").agg(F.min("media_id").alias("head")), "heads")
-    lead = heads.select(F.col("head").alias("media_id"))
-    # Repeated rows of an id are one image: its corners count once.
-    unique = named.join(broadcast_if_small(lead, lead.count(), 16), "media_id", "left_semi")
-    found = features(unique)
-    if rows.count() > rows.select("media_id").distinct().count():
-        found = found.dropDuplicates(["media_id", "corner"])
-    found = durable(found, "corners")
-    links = durable(agreements(matches(found)), "links")
-    moved = components(links)
-    counts = found.groupBy("media_id").agg(F.count(F.lit(1)).alias("n_corners"))
-    ends = links.select(F.explode(F.array("u", "v")).alias("media_id")).groupBy("media_id").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = (
-        heads.join(counts, F.col("head") == F.col("media_id"), "left").drop("media_id")
-        .join(ends, F.col("head") == F.col("media_id"), "left").drop("media_id")
-        .join(moved, F.col("head") == F.col("node"), "left")
-        .select("digest", F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
-    )
-    return rows.join(durable(classes, "classes"), "digest", "left").select("media_id", "n_corners", "n_links", "component_id")
+    rows = durable(described(named).withColumn("class", F.coalesce("digest", F.concat(F.lit("null/"), F.col("media_id").cast("string")).cast("binary"))), "described")
+    told = rows.groupBy("class").agg(F.min("media_id").alias("head"), F.max("n").alias("n"), *(F.max_by(c, F.coalesce("n", F.lit(-2))).alias(c) for c in ("spots", "desc", "keys")))
+    classes = durable(told.withColumn("node", F.monotonically_increasing_id()), "classes")
+    entries = shared_entries(classes.filter("n > 0"))
+    size = entries.count()
+    star = durable(proposals(entries.withColumn("label", F.col("node")), size, star_pairs, False), "first-proposals")
+    links = agreements(star, classes)
+    moved = durable(components(links), "first-components")
+    labelled = entries.join(broadcast_if_small(moved, moved.count(), 24), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    rest = durable(proposals(labelled, size, cross_pairs, True), "proposals")
+    release(entries)
+    links = links.unionByName(agreements(rest, classes))
+    moved = durable(components(links), "components")
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    named = classes.select("class", "head", "n", "node")
+    members = moved.unionByName(moved.select(F.col("component").alias("node"), "component").distinct())
+    heads = durable(members.join(named, "node").groupBy("component").agg(F.min("head").alias("least")), "heads")
+    settled = named.join(broadcast_if_small(moved, moved.count(), 24), "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    settled = settled.join(broadcast_if_small(heads, heads.count(), 24), "component", "left")
+    settled = settled.select("class", (F.col("n") >= 0).alias("decoded"), F.greatest("n", F.lit(0)).alias("n_corners"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("least", "head").alias("component_id"))
+    settled = durable(settled, "settled")
+    out = rows.select("media_id", "digest", "class").join(broadcast_if_small(settled, settled.count(), 80), "class")
+    return out.select("media_id", (F.col("decoded") & F.col("digest").isNotNull()).alias("decoded"), F.col("n_corners").cast("long").alias("n_corners"), "n_links", "component_id")
 
 
 SIDE = 64
@@ -340,7 +428,7 @@ def _basis(width: int) -> np.ndarray:
     """One smooth fixed pattern for each component."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(width, SIDE, SIDE)).astype(np.float32)
-    for _ in range(6):
+    for _ in range(3):
         x = _blur(x)
     return (x / x.std()).reshape(width, -1)
 
