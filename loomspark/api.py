@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-from .functions import numbers, persian, phonemes
-from .functions.g2p import Frontend, default_lexicon
+from .functions import phonemes
+from .functions.g2p import _SYMBOL, Frontend, default_lexicon
+from .functions.persian import normalised_text as normalize
 
 __all__ = ["Frontend", "normalize", "phonemize", "text_to_ids", "to_ipa"]
 
-_LETTERS = str.maketrans({**dict(zip(persian.LETTERS_FROM + persian.SIGNS_FROM + "“”", persian.LETTERS_TO + persian.SIGNS_TO + '""')), **dict.fromkeys(persian.DELETED)})
-_SIGNS = str.maketrans(persian.PUNCTUATION_FROM, persian.PUNCTUATION_TO)
-_LETTER = "[ء-ی]"
-
-
-def normalize(text: str, expand: bool = True) -> str:
-    """The same order as ``persian.normalise``, NFC first."""
-    z = persian.ZWNJ
-    text = unicodedata.normalize("NFC", text).translate(_LETTERS).translate(numbers._DIGITS)
-    text = text.replace("ا" + persian.TANWIN, "ان").replace(persian.TANWIN + "ا", "ان").replace(persian.TANWIN, "ن")
-    text = re.sub(persian.DIACRITICS, "", text)
-    if expand:
-        text = numbers.expand_text(text)
-    text = re.sub(r"([،؛؟!.])\1+", r"\1", text.translate(_SIGNS).replace("…", "...")).replace("...", "…")
-    text = text.replace("‍", "").replace("​", "")
-    text = re.sub(rf"\b(ن?می)\s+(?={_LETTER})", rf"\1{z}", text)
-    text = re.sub(rf"(?<={_LETTER})\s+(ها(?:ی(?:ی|م|ت|ش)?)?|تر(?:ی|ین)?)\b", rf"{z}\1", text)
-    text = re.sub(rf"\s*{z}\s*", z, text)
-    text = re.sub(f"[^{persian.KEPT}]".replace("\\u0027", "'"), " ", text)
-    text = re.sub(r"\s*([،؛؟!.:])", r"\1", re.sub("[ \t\u2000-\u200b]+", " ", text))
-    return re.sub(r"([،؛؟!.:])(?=\S)", r"\1 ", text).strip()
-
 
 def phonemize(text: str) -> str:
     return Frontend()(normalize(text))["phonemes"]
@@ -43,7 +19,7 @@ def text_to_ids(text: str) -> list[int]:
 
 def to_ipa(line: str) -> str:
     """A phoneme string for display."""
-    return "".join(phonemes.IPA.get(s, "ˈ" if s == "1" else s) for s in re.findall(r"(?s)\|\||[szc]h|.", line))
+    return "".join(phonemes.IPA.get(s, "ˈ" if s == "1" else s) for s in _SYMBOL.findall(line))
 
 
 def lexicon():

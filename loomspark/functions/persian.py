@@ -1,12 +1,16 @@
 """Persian text functions as native expressions: normalisation, tokens, breaks, keys.
 
 Each builder takes a ``Dialect`` and an SQL expression and returns an expression, so the same
-definition serves columns (``column``), SQL and the oracle. Java regular expressions carry the
-look-around steps; those exist for Spark only.
+definition serves columns (``column``), SQL and the oracle. The whole order of normalisation is a
+table of steps that ``normalised`` runs over a column and ``normalised_text`` over a single text.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +29,7 @@ DELETED = "﻿‎‏"
 DIACRITICS = "[ً-ٰٕۖ-ۭـ]"
 TANWIN = "ً"
 PUNCTUATION_FROM, PUNCTUATION_TO = "٪٬,;?", "%,،؛؟"
-KEPT = "ء-ی،؛؟!.:()«»\"\\u0027\\-\\s‌…"
+KEPT = "ء-ی،؛؟!.:()«»\"'\\- \t\n\x0b\f\r‌…"
 BREAKS = {"،": "|", "؛": "|", ":": "|", "…": "|", "(": "|", ")": "|", ".": "||", "؟": "?", "!": "!"}
 
 
@@ -43,7 +47,7 @@ def digits(d: Dialect, x: str) -> str:
 
 
 def unify(d: Dialect, x: str) -> str:
-    """Arabic letter forms to Persian ones, dashes and quotes to plain ones, marks of direction deleted (no NFC)."""
+    """Arabic letter forms to Persian ones, dashes and quotes to plain ones, marks of direction deleted (``composed`` goes before)."""
     kept = f"translate({x}, {_q(d, LETTERS_FROM + SIGNS_FROM + '“”' + DELETED)}, {_q(d, LETTERS_TO + SIGNS_TO + chr(34) * 2)})"
     return kept
 
@@ -56,40 +60,74 @@ def strip_marks(d: Dialect, x: str) -> str:
     return d.sub(x, DIACRITICS, "")
 
 
-def unsupported_to_space(d: Dialect, x: str) -> str:
-    return d.sub(x, f"[^{KEPT}]", " ")
+# --- the whole order, once for columns and for single texts ------------------------------------------
+
+_SPACE, _LETTER, _WORD, _MARK = "[ \t\n\x0b\f\r]", "[ء-ی]", "[0-9A-Za-z_\u0600-\u06ff]", "[،؛؟!.:]"
+# What takes a joiner instead of a space: verb prefixes, and endings of a noun or an adjective by their stem.
+JOINED_PREFIXES = ("می", "نمی")
+JOINED_ENDINGS = {"ها": ("", "ی", "یی", "یم", "یت", "یش"), "تر": ("", "ی", "ین")}
+
+
+def _choice(words) -> str:
+    return "|".join(sorted(words, key=len, reverse=True))
+
+
+#: Steps before numbers are spelled: characters for characters, then patterns for texts, in syntax that Java and Python share.
+LETTERS = (LETTERS_FROM + SIGNS_FROM + "“”" + PERSIAN_DIGITS + ARABIC_DIGITS + DELETED, LETTERS_TO + SIGNS_TO + '""' + ASCII_DIGITS * 2)
+BARE = ((f"ا{TANWIN}|{TANWIN}ا", "ان"), (TANWIN, "ن"), (DIACRITICS, ""))
+#: Steps after that: an ellipsis is a run of dots, and a run of one mark is one mark.
+SIGNS = (PUNCTUATION_FROM + "…\u200d\u200b", PUNCTUATION_TO + ".")
+SHAPE = (
+    (r"([،؛؟!.])\1+", r"\1"),
+    (f"(?<!{_WORD})({_choice(JOINED_PREFIXES)}){_SPACE}+(?={_LETTER})", rf"\1{ZWNJ}"),
+    (f"(?<={_LETTER}){_SPACE}+({_choice(stem + end for stem, ends in JOINED_ENDINGS.items() for end in ends)})(?!{_WORD})", rf"{ZWNJ}\1"),
+    (f"{_SPACE}*{ZWNJ}{_SPACE}*", ZWNJ),
+    (f"[^{KEPT}]", " "),
+    ("[ \t]+", " "),
+    (f"{_SPACE}*({_MARK})", r"\1"),
+    (f"({_MARK})(?={_SPACE[:1]}^{_SPACE[1:]})", r"\1 "),
+    (f"^{_SPACE}+|{_SPACE}+$", ""),
+)
+# Characters that composition leaves alone, whatever stands next to them.
+_COMPOSED = "^[\u0000-\u02ff\u060c-\u060f\u061b-\u064a\u0660-\u066f\u0671-\u06d5\u06ee-\u06ff\u2002-\u206f]*$"
+
+
+def composed(x: Column) -> Column:
+    """Unicode composition (NFC); texts it cannot change do not reach the Python function."""
 
+    def compose(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFC")
 
-def punctuation(x: str) -> str:
-    """Spark only: the back-reference. A run of one mark becomes one, so an ellipsis ends as one dot."""
-    mapped = f"replace(translate({x}, '{PUNCTUATION_FROM}', '{PUNCTUATION_TO}'), '…', '...')"
-    return f"replace(regexp_replace({mapped}, r'([،؛؟!.])\\1+', '$1'), '...', '…')"
+    plain = x.rlike(_COMPOSED)
+    return F.when(plain, x).otherwise(F.pandas_udf(compose, "string")(F.when(~plain, x)))
 
 
-def joiners(x: str) -> str:
-    """Spark only: prefix and suffix joins by look-around; a joiner takes no spaces around it."""
-    letter = "[ء-ی]"
-    word = "[\\u0600-\\u06ff0-9A-Za-z_]"
-    x = f"translate({x}, '‍​', '')"
-    x = f"regexp_replace({x}, r'(?<!{word})(ن?می)\\s+(?={letter})', '$1{ZWNJ}')"
-    x = f"regexp_replace({x}, r'(?<={letter})\\s+(ها(?:ی(?:ی|م|ت|ش)?)?|تر(?:ی|ین)?)(?!{word})', '{ZWNJ}$1')"
-    return f"regexp_replace({x}, r'\\s*{ZWNJ}\\s*', '{ZWNJ}')"
+def normalised(x: Column, spelled: bool = True) -> Column:
+    """The whole order over a column; null counts as empty."""
+    from .numbers import expand_numbers
 
+    x = composed(F.coalesce(x, F.lit("")))
+    for signs, steps in ((LETTERS, BARE), (SIGNS, SHAPE)):
+        x = F.translate(x, *signs)
+        for pattern, new in steps:
+            x = F.regexp_replace(x, pattern, new.replace("\\", "$"))
+        if spelled and signs is LETTERS:
+            x = expand_numbers(x)
+    return x
 
-def spaces(x: str) -> str:
-    """Spark only: runs of spaces to one, none before a mark, one after it."""
-    x = f"regexp_replace({x}, '[ \t\u2000-\u200b]+', ' ')"
-    x = f"regexp_replace({x}, r'\\s*([،؛؟!.:])', '$1')"
-    x = f"regexp_replace({x}, r'([،؛؟!.:])(?=\\S)', '$1 ')"
-    return f"regexp_replace({x}, r'^\\s+|\\s+$', '')"
 
+def normalised_text(text: str, spelled: bool = True) -> str:
+    """``normalised`` for a single text, outside Spark."""
+    from .numbers import expand_text
 
-def normalise(x: str, expanded: bool = False) -> str:
-    """Spark only: the whole order for text without numbers to spell (those go through ``numbers.expand_numbers``)."""
-    d = SPARK
-    if not expanded:
-        x = strip_marks(d, tanwin(d, digits(d, unify(d, x))))
-    return spaces(unsupported_to_space(d, joiners(punctuation(x))))
+    text = unicodedata.normalize("NFC", text)
+    for (old, new), steps in ((LETTERS, BARE), (SIGNS, SHAPE)):
+        text = text.translate({ord(c): new[k] if k < len(new) else None for k, c in enumerate(old)})
+        for pattern, put in steps:
+            text = re.sub(pattern, put, text)
+        if spelled and old is LETTERS[0]:
+            text = expand_text(text)
+    return text
 
 
 def fold_marks(x: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with ``QUERIES`` (name to callable) and ``ORACLE`` (name to DuckDB SQL).
-MODULES = ["audit", "split", "vectors", "scoring", "metrics", "numerics", "language", "frontend"]
+MODULES = ["audit", "split", "vectors", "scoring", "metrics", "numerics", "language", "frontend", "golden"]
 
 
 def _gathered(kind: str) -> dict:

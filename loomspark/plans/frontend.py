@@ -7,6 +7,7 @@ import struct
 import wave
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,7 @@ from ..functions import g2p
 from ..operators import clustering, corpus, sequence
 from ..operators.quantiles import exact_quantiles
 from ..sources import files
-from ..streaming.guard import GuardState, Rules
-from .language import PHRASES, rows
+from .language import PHRASES, SENTENCES, rows
 
 LEXICON = "کتاب\tketAb\n# a comment\n\nخانه\txAne\nکتاب\tketAb\tketeb\n مرد\tmard\tmord"
 
@@ -35,8 +35,8 @@ def word_phonemes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_phonemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw text to word and break tokens."""
-    return _phrases(spark).withColumn("tokens", F.udf(g2p.g2p_tokens, "array<string>", useArrow=True)("s"))
+    """Raw sentences to tokens and phonemes, with readings by context, called names and doors."""
+    return g2p.spoken(spark.sql(rows(SENTENCES[:8])), "s").select("id", F.array_join("tokens", "/").alias("tokens"), "phonemes")
 
 
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,11 @@ def agglomerative_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.assign(vectors, clustering.fit_clusters(vectors, 0.6))
 
 
+def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters, their sizes and mean confidence at each threshold."""
+    return clustering.sweep(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), (0.5, 0.6, 0.7, 0.8))
+
+
 def effective_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19"""
     return spark.createDataFrame([(clustering.effective_dimensions(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),)], "dims int")
@@ -89,12 +94,17 @@ def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out.getvalue()
 
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return nations.select(F.col("n_nationkey").cast("long").alias("idx"), F.udf(tone, "binary")("n_nationkey").alias("audio"))
+
+    def draw(keys: pd.Series) -> pd.Series:
+        return keys.map(tone)
+
+    tones = F.pandas_udf(draw, "binary")
+    return nations.select(F.col("n_nationkey").cast("long").alias("idx"), tones("n_nationkey").alias("audio"))
 
 
 def wav_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S13"""
-    return files.wav_header(_tones(spark, sf_dir))
+    return files.wav_header(_tones(spark, sf_dir)).drop("audio")
 
 
 def wav_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +116,7 @@ def ezafe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A left-to-right recurrence as a fold: a turn counts if its length is even and the turn before did not count."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t"))
     fold = F.aggregate("t", F.expr("cast(array() AS array<boolean>)"), lambda acc, x: F.concat(acc, F.array((x["n"] % 2 == 0) & ~F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(False)))))
-    return turns.select("conv_id", fold.alias("flags"))
+    return turns.select("conv_id", F.array_join(F.transform(fold, lambda x: x.cast("int").cast("string")), "").alias("flags"))
 
 
 def shuffle_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,29 +130,17 @@ def conjugation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(forms, "verb string, place int, form string, phonemes string, stress int")
 
 
-def metric_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2: the guard over each user's events in order; one task holds one run's records."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "value")
-
-    def run(part):
-        import pandas as pd
-
-        state, rules, out = GuardState(), Rules(patience=3, ceilings={"error": (0, 80.0)}, floors={"view": (0, 0.5)}), []
-        for r in part.sort_values("event_id").itertuples(index=False):
-            reason = state.apply(rules, int(r.event_id), {r.event_type: float(r.value)})
-            if reason:
-                out.append((int(r.user_id), int(r.event_id), reason))
-        return pd.DataFrame(out, columns=["user_id", "event_id", "reason"])
-
-    return events.groupBy("user_id").applyInPandas(run, "user_id long, event_id long, reason string")
-
-
 def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh place in the shared folder; a local one only where none is set."""
+    """A fresh place in the shared folder; a local one only where none is set and all is one process."""
     import tempfile
     import uuid
 
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-")
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="loomspark-")
+        spark.conf.set("spark.checkpoint.dir", place)
     return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -189,6 +187,15 @@ def golden_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = {
+    "sentence_phonemes": """SELECT * FROM (VALUES
+        (0, 'کتاب/من/روی/میز/است', 'ket1Ab- m1an r1uy- m1iz 1ast'), (1, 'مرد/را/دید', 'm1ard rA d1id'), (2, 'او/دیروز/مرد', '1u dir1uz m1ord'), (3, 'این/کتاب/خوب', '1in ket1Ab x1ub'),
+        (4, 'ساعت/نه/صبح', 'sAQ1at n1oh- s1obh'), (5, 'نه/شما', 'n1ay- shom1A'), (6, 'پر/از/گل', 'p1or az g1ol'), (7, 'علی/به/تهران/رفت', 'Qal1i be tehr1An r1aft')) v(id, tokens, phonemes)""".replace("Q", "''"),
+    "source_file": "SELECT doc_id, 'documents.parquet' AS shard FROM documents",
+    "wav_header": "SELECT n_nationkey::BIGINT AS idx, ((400 + 40 * n_nationkey) / 8000.0)::DOUBLE AS duration, 8000 AS sample_rate, 'WAV' AS format FROM nation",
+    "ezafe_fold": """
+        WITH RECURSIVE t AS (SELECT conv_id, length(text) % 2 = 0 AS even, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k FROM conversations),
+        f AS (SELECT conv_id, k, even AS flag FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.k, t.even AND NOT f.flag FROM t JOIN f ON t.conv_id = f.conv_id AND t.k = f.k + 1)
+        SELECT conv_id, string_agg(flag::INT, '' ORDER BY k) AS flags FROM f GROUP BY conv_id""",
     "exact_rate_window": "SELECT round(quantile_cont(r, 0.02), 6) AS lo, round(quantile_cont(r, 0.98), 6) AS hi FROM (SELECT l_extendedprice / l_quantity AS r FROM lineitem) x",
     "jsonl_roundtrip": "SELECT doc_id, quality, toxic FROM labels",
     "packed_roundtrip": "SELECT o_orderkey, o_totalprice FROM orders",
@@ -200,7 +207,7 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (
-        frontend_ids, word_phonemes, sentence_phonemes, sentence_chunks, monotonic_path, agglomerative_clusters, effective_dims, exact_rate_window, source_file, wav_header, wav_decode,
-        ezafe_fold, shuffle_buffer, conjugation, metric_guard, jsonl_roundtrip, packed_roundtrip, report_roundtrip, vectors_roundtrip, lexicon_parse, golden_parse,
+        frontend_ids, word_phonemes, sentence_phonemes, sentence_chunks, monotonic_path, agglomerative_clusters, cluster_sweep, effective_dims, exact_rate_window, source_file, wav_header, wav_decode,
+        ezafe_fold, shuffle_buffer, conjugation, jsonl_roundtrip, packed_roundtrip, report_roundtrip, vectors_roundtrip, lexicon_parse, golden_parse,
     )
 }

@@ -90,7 +90,7 @@ TEXTS = {
     "sonority_pairs": lambda d: "SELECT a.s AS first_c, b.s AS second_c, a.level > b.level AS falling FROM " + " CROSS JOIN ".join("(SELECT * FROM (VALUES " + ", ".join(f"('{s}', {v})" for s, v in phonemes.SONORITY.items() if s != "'") + f") v(s, level)) {t}" for t in "ab"),
 }
 
-SENTENCES = ("کتاب من روی میز است", "مرد را دید", "او دیروز مرد", "این کتاب خوب", "ساعت نه صبح", "نه شما", "پر از گل", "علی به تهران رفت")
+SENTENCES = ("کتاب من روی میز است", "مرد را دید", "او دیروز مرد", "این کتاب خوب", "ساعت نه صبح", "نه شما", "پر از گل", "علی به تهران رفت", "گندم را کشت", "کشت گندم", "مهر کرد", "مهر ماه", "در تنگ آب", "جای تنگ", "کرم من", "کرم پوست", "کرم خاکی")
 
 
 def classes() -> str:
@@ -106,16 +106,23 @@ def placed(d: Dialect) -> str:
     return f"SELECT id, CAST(pos - 1 AS INT) AS pos, w FROM (SELECT id, unnest(string_split(s, ' ')) AS w, generate_subscripts(string_split(s, ' '), 1) AS pos FROM ({rows(SENTENCES)}) s) x"
 
 
+def _readings() -> str:
+    """The table of homographs as one expression over w, before and after."""
+    tests = {".": lambda _: "after IS NULL", "-": lambda _: "false", "": lambda _: "true"}
+    among = lambda place: lambda words: f"coalesce({place} IN ({', '.join(repr(x) for x in words.split())}), false)"
+    tests |= {place: among(place) for place in ("before", "after")}
+    return "CASE " + " ".join(f"WHEN w = '{w}' AND {tests[place](words)} THEN '{reading}'" for w, place, words, reading in g2p.HOMOGRAPHS) + " END"
+
+
 TEXTS |= {
     # Ordered membership, noun where no class holds the word
     "word_class_tags": lambda d: f"""
         SELECT id, pos, w, coalesce(tag, 'noun') AS tag FROM (
             SELECT p.id, p.pos, p.w, c.tag, row_number() OVER (PARTITION BY p.id, p.pos ORDER BY c.place) AS k FROM ({placed(d)}) p LEFT JOIN ({classes()}) c ON p.w = c.w) t WHERE k = 1""",
-    # W5 G14
+    # Every homograph by the words around it (no linkers here)
     "homograph_context": lambda d: f"""
-        SELECT id, pos, w, CASE WHEN w = 'مرد' THEN CASE WHEN after = 'را' OR after IS NOT NULL THEN 'mard' ELSE 'mord' END WHEN w = 'نه' THEN CASE WHEN before = 'ساعت' OR after = 'صبح' THEN 'noh' ELSE 'na' END
-               WHEN w = 'پر' THEN 'por' END AS reading
-        FROM (SELECT id, pos, w, lag(w) OVER s AS before, lead(w) OVER s AS after FROM ({placed(d)}) p WINDOW s AS (PARTITION BY id ORDER BY pos)) c WHERE w IN ('مرد', 'نه', 'پر')""",
+        SELECT id, pos, w, {_readings()} AS reading
+        FROM (SELECT id, pos, w, lag(w) OVER s AS before, lead(w) OVER s AS after FROM ({placed(d)}) p WINDOW s AS (PARTITION BY id ORDER BY pos)) c WHERE w IN ({', '.join(sorted({f"'{h[0]}'" for h in g2p.HOMOGRAPHS}))})""",
     # Symbols and ids side by side
     "id_lookup": lambda d: f"SELECT p.s AS symbol, {phonemes.UNKNOWN + 0} AS unknown_id, coalesce(i.id, {phonemes.UNKNOWN}) AS symbol_id FROM ({rows(('sh', 'A', 'zz', '1', 'x', '@'))}) p LEFT JOIN ({rows(phonemes.SYMBOLS)}) i ON p.s = i.s",
 }
@@ -130,9 +137,7 @@ def expand_numbers(spark, sf_dir: str):
 
 def normalise_text(spark, sf_dir: str):
     """The whole order, with numbers spelled (rows only)."""
-    d = persian.SPARK
-    raw = spark.sql(rows(PHRASES)).withColumn("s", F.expr(persian.strip_marks(d, persian.tanwin(d, persian.digits(d, persian.unify(d, "s"))))))
-    return raw.withColumn("s", numbers.expand_numbers(F.col("s"))).select("id", F.expr(persian.normalise("s", True)).alias("normal"))
+    return spark.sql(rows(PHRASES)).select("id", persian.normalised(F.col("s")).alias("normal"))
 
 
 def fold_marks(spark, sf_dir: str):

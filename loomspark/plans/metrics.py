@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ..functions.dialect import Dialect, catalogue
 from ..functions.persian import timeout_minutes
+from ..streaming.guard import Rules
 
 LOG_EVERY = 50
 USD_PER_HOUR, CEILING = 0.8, 100.0
@@ -34,7 +35,33 @@ def _violations(d: Dialect) -> str:
     return " UNION ALL ".join(f"SELECT {k} AS rule, metric, step, value FROM ({steps(d)}) s WHERE metric = '{m}' AND step > {warm} AND value {op} {bound}" for k, (m, warm, op, bound) in enumerate(HALTS))
 
 
+#: The guard of a user's own stream: an error is a gradient norm, non-finite where its event id is even.
+GUARD = Rules(warm_up=3, patience=1, watched="error", targets={"view": [6, 80.0]}, floors={"click": 4.0}, ceilings={"error": 90.0})
+
+
+def _guard(d: Dialect) -> str:
+    """user_id, step, reason of each user's first halt: streaks as islands of steps, bounds as rows, the least of both."""
+    base = f"SELECT user_id, event_id, ts, event_type, value, date_trunc('day', ts) AS slot, event_type = '{GUARD.watched}' AND event_id % 2 = 0 AS bad FROM {d.t('events')}"
+    one = "CASE WHEN bad THEN 1 ELSE 0 END"
+    before = "OVER (PARTITION BY user_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    slots = f"SELECT user_id, slot, sum(n) {before} - n AS n_before, sum(n_bad) {before} - n_bad AS bad_before FROM (SELECT user_id, slot, count(*) AS n, sum({one}) AS n_bad FROM ({base}) b GROUP BY user_id, slot) c"
+    within = "OVER (PARTITION BY user_id, slot ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    steps = f"""SELECT r.user_id, {d.long('n_before + k')} AS step, event_type, value, bad, {d.long('bad_before + k_bad')} AS bad_rank
+        FROM (SELECT *, count(*) {within} AS k, sum({one}) {within} AS k_bad FROM ({base}) b) r JOIN ({slots}) s ON r.user_id = s.user_id AND r.slot = s.slot"""
+    streaks = f"SELECT user_id, min(step) + {GUARD.patience} AS step, 0 AS place FROM ({steps}) s WHERE bad GROUP BY user_id, step - bad_rank HAVING count(*) > {GUARD.patience}"
+    bounds = " UNION ALL ".join(
+        f"SELECT user_id, step, {k} AS place FROM ({steps}) s WHERE NOT bad AND event_type = '{m}' AND step >= {max(since, GUARD.warm_up)} AND value {'>' if side == 'above' else '<'} {bound}"
+        for k, (m, since, side, bound) in enumerate(GUARD.bounds(), 1)
+    )
+    reasons = " ".join(f"WHEN {k} THEN '{m} {side} {bound}'" for k, (m, since, side, bound) in enumerate(GUARD.bounds(), 1))
+    return f"""
+        SELECT user_id, {d.long('floor(code / CAST(8 AS DOUBLE))')} AS step, CASE code % 8 WHEN 0 THEN 'non-finite for {GUARD.patience + 1} steps' {reasons} END AS reason
+        FROM (SELECT user_id, min(step * 8 + place) AS code FROM ({streaks} UNION ALL {bounds}) v GROUP BY user_id) f"""
+
+
 TEXTS = {
+    # The whole guard, per user
+    "metric_guard": _guard,
     # The trailing partial block is dropped
     "metric_windows": lambda d: f"""
         SELECT metric, {d.long(f'floor((step - 1) / CAST({LOG_EVERY} AS DOUBLE))')} AS block, round(avg(value), 6) AS mean, count(value) AS finite FROM ({steps(d)}) s

@@ -19,15 +19,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 @dataclass
 class Rules:
-    """Bounds as metric -> [step from which it holds, bound]; a missing or non-finite value is skipped by them."""
+    """Bounds on metrics. A missing or non-finite value is not judged by them.
+
+    ``targets``: metric -> [step, most], from that step on; ``floors`` and ``ceilings``: metric -> bound, at
+    every step. They are tried in this order, and none before ``warm_up``. ``watched`` is the metric
+    whose non-finite values in a row are borne up to ``patience`` times, from the first step on.
+    """
 
     warm_up: int = 0
     patience: int = 3
-    ceilings: dict = field(default_factory=dict)
+    watched: str = "grad_norm"
+    targets: dict = field(default_factory=dict)
     floors: dict = field(default_factory=dict)
+    ceilings: dict = field(default_factory=dict)
     usd_per_hour: float = 0.0
     budget: float | None = None
 
+    def bounds(self) -> list[tuple[str, int, str, float]]:
+        """metric, step from which it is judged, side on which it must not be, bound: in order of trial."""
+        return (
+            [(m, since, "above", most) for m, (since, most) in self.targets.items()]
+            + [(m, self.warm_up, "below", least) for m, least in self.floors.items()]
+            + [(m, self.warm_up, "above", most) for m, most in self.ceilings.items()]
+        )
+
 
 @dataclass
 class GuardState:
@@ -36,23 +51,23 @@ class GuardState:
 
     def apply(self, rules: Rules, step: int, metrics: dict, hours: float = 0.0) -> str | None:
         """The reason to halt, once; later records are silent."""
-        if self.fired:
-            return None
-        bad = any(v is not None and not math.isfinite(v) for v in metrics.values())
-        self.streak = self.streak + 1 if bad else 0
-        reason = None
-        if self.streak > rules.patience:
-            reason = f"non-finite for {self.streak} steps"
-        elif rules.budget is not None and hours * rules.usd_per_hour >= rules.budget:
-            reason = "budget"
-        elif step >= rules.warm_up:
-            for bounds, over in ((rules.ceilings, True), (rules.floors, False)):
-                for name, (since, bound) in bounds.items():
-                    value = metrics.get(name)
-                    if reason is None and value is not None and math.isfinite(value) and step >= since and (value > bound if over else value < bound):
-                        reason = f"{name} {'above' if over else 'below'} {bound}"
-        self.fired = reason
-        return reason
+        if self.fired is None:
+            self.fired = self._judge(rules, step, metrics, hours)
+            return self.fired
+        return None
+
+    def _judge(self, rules: Rules, step: int, metrics: dict, hours: float) -> str | None:
+        if rules.budget is not None and hours * rules.usd_per_hour >= rules.budget:
+            return "budget"
+        watched = metrics.get(rules.watched)
+        self.streak = self.streak + 1 if watched is not None and not math.isfinite(watched) else 0
+        if self.streak:  # such a step says nothing about other metrics
+            return f"non-finite for {self.streak} steps" if self.streak > rules.patience else None
+        for metric, since, side, bound in rules.bounds() if step >= rules.warm_up else ():
+            value = metrics.get(metric)
+            if step >= since and value is not None and math.isfinite(value) and (value > bound if side == "above" else value < bound):
+                return f"{metric} {side} {bound}"
+        return None
 
 
 def guard_stream(records: DataFrame, rules: Rules, key: str = "run") -> DataFrame:

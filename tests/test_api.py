@@ -5,16 +5,17 @@ from pyspark.sql import functions as F
 import loomspark
 from loomspark import api, cli, jobs
 from loomspark.functions import persian
-from loomspark.plans.language import PHRASES
+from loomspark.plans.language import ENTITIES, PHRASES
 from loomspark.sources import files
 
 
 def test_plain_equals_column(spark):
-    df = spark.createDataFrame(list(enumerate(PHRASES)), "id int, s string")
-    d = persian.SPARK
-    bare = df.withColumn("s", F.expr(persian.strip_marks(d, persian.tanwin(d, persian.digits(d, persian.unify(d, "s"))))))
-    got = {r.id: r.n for r in bare.select("id", F.expr(persian.normalise("s", True)).alias("n")).collect()}
-    assert got == {i: api.normalize(t, expand=False) for i, t in enumerate(PHRASES)}
+    texts = [*PHRASES, *ENTITIES, "ا\u0653ب و \u0627\u0654", "e\u0301 é", "می\u200cروم \u200c ها", "خانه  هایی ،دور!!", "؟!", "می\u00a0روم", "a\u2003b…", "کتاب ها\nی خوب تر", "[x] {y}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    got = {r.id: r.n for r in df.select("id", persian.normalised(F.col("s")).alias("n")).collect()}
+    assert got == {i: api.normalize(t) for i, t in enumerate(texts)}
+    bare = {r.id: r.n for r in df.select("id", persian.normalised(F.col("s"), spelled=False).alias("n")).collect()}
+    assert bare == {i: api.normalize(t, spelled=False) for i, t in enumerate(texts)}
 
 
 def test_entry_points(capsys):
