@@ -35,7 +35,7 @@ TEXTS = {
     # T12 T13
     "cer_rows": lambda d: f"SELECT idx, ref_len, hyp_len, round(cer, 6) AS cer FROM ({cer(d)}) c",
     # A22
-    "cer_summary": lambda d: "SELECT " + ", ".join(f"round({d.pct('cer', q / 100)}, 6) AS p{q}" for q in (5, 25, 50, 75, 95, 99)) + f", round(avg(cer), 6) AS mean FROM ({cer(d)}) c",
+    "cer_summary": lambda d: "SELECT " + ", ".join(f"round({d.at('ps', str(i + 1))}, 6) AS p{q}" for i, q in enumerate((5, 25, 50, 75, 95, 99))) + f", round(mean, 6) AS mean FROM (SELECT {d.pcts('cer', (0.05, 0.25, 0.5, 0.75, 0.95, 0.99))} AS ps, avg(cer) AS mean FROM ({cer(d)}) c) s",
     # A23
     "keep_rate": lambda d: f"SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg(CASE WHEN cer <= threshold THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS kept FROM ({cer(d)}) c CROSS JOIN {d.each(d.array(*THRESHOLDS), 'threshold')} t GROUP BY threshold",
     # A24

@@ -29,7 +29,7 @@ def lexicon(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
     """key, readings: comments and blank lines skipped, repeated keys merged, readings kept in first order without repeats."""
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     parts = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#")).select("at", F.split("line", separator).alias("p"))
-    each = parts.select(F.col("p")[0].alias("key"), "at", F.posexplode(F.slice("p", 2, 1000)).alias("k", "reading")).filter(F.trim("reading") != "")
+    each = parts.select(F.col("p")[0].alias("key"), "at", F.posexplode(F.slice("p", 2, F.size("p"))).alias("k", "reading")).filter(F.trim("reading") != "")
     first = each.groupBy("key", F.trim("reading").alias("reading")).agg(F.min(F.struct("at", "k")).alias("place"))
     return first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "reading"))), lambda x: x["reading"]).alias("readings"))
 
