@@ -1,4 +1,4 @@
-"""Commands: normalize, phonemize, bench, query."""
+"""Commands: normalize, phonemize, bench, query, evaluate, audit."""
 
 from __future__ import annotations
 
@@ -23,7 +23,17 @@ def main(argv: list[str] | None = None) -> int:
     query.add_argument("name")
     query.add_argument("folder")
     query.add_argument("--rows", type=int, default=20)
+    golden = sub.add_parser("evaluate", help="score the frontend against a golden set")
+    golden.add_argument("path")
+    golden.add_argument("--lexicon", help="a TSV of words and readings instead of the default")
+    audit = sub.add_parser("audit", help="write the manifest of a corpus of Parquet files")
+    audit.add_argument("source")
+    audit.add_argument("out")
+    audit.add_argument("--text", default="sentence")
+    audit.add_argument("--key", default="idx")
     args = parser.parse_args(argv)
+    if args.command in ("evaluate", "audit"):
+        return _job(args)
     if args.command == "query":
         return _query(args)
     from . import api
@@ -53,5 +63,18 @@ def _query(args) -> int:
     return 0
 
 
+def _job(args) -> int:
+    from pyspark.sql import SparkSession
+
+    from . import jobs
+
+    spark = SparkSession.builder.appName("loomspark").getOrCreate()
+    if args.command == "evaluate":
+        jobs.evaluate_golden(spark, args.path, args.lexicon).orderBy("category").show(100, truncate=False)
+    else:
+        print(jobs.audit(spark, args.source, args.out, args.text, args.key).count(), "rows")
+    return 0
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import persian
+from .functions.lexicon import Lexicon
 from .operators import clustering, corpus, quantiles
+from .plans import golden
+from .sources import files
 
 LETTER = "[ء-ی]"
 
@@ -79,3 +82,13 @@ def verify(scored: DataFrame, thresholds=(0.05, 0.1, 0.15, 0.2, 0.3, 0.5)) -> di
 def pack_subset(corpus_rows: DataFrame, selection: DataFrame, vectors: DataFrame, out: str, rows_per_file: int = 4000) -> None:
     """The selected rows with their vectors, in files of so many rows."""
     corpus.write_packed(corpus_rows.join(selection.select("idx", "speaker"), "idx").join(vectors.select("idx", "embedding"), "idx"), out, rows_per_file)
+
+
+def read_lexicon(spark: SparkSession, path: str) -> Lexicon:
+    """A lexicon from a TSV of words and readings; it is a dictionary, small enough for every worker."""
+    return Lexicon.build({r["key"]: r["readings"] for r in files.lexicon(spark, path).collect()})
+
+
+def evaluate_golden(spark: SparkSession, path: str, lexicon: str | None = None) -> DataFrame:
+    """Exact sentences and linkers of a golden set, by category and over all, with a lexicon of one's own or the default."""
+    return golden.evaluate(spark, path, read_lexicon(spark, lexicon) if lexicon else None)

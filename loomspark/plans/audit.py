@@ -63,6 +63,9 @@ def _tier_row(d: Dialect, tier: str) -> str:
     return f"SELECT '{tier}' AS tier, {d.when(tier)} AS n, round(sum(CASE WHEN {tier} THEN duration ELSE 0 END) / 3600, 6) AS hours, round(CAST(100 AS DOUBLE) * {d.when(tier)} / count(*), 4) AS pct FROM ({tiers(d, rates(d))}) t"
 
 
+#: 128 bits that stand for a text, so that texts themselves are neither grouped nor shuffled.
+_digest = "md5(trim(coalesce(text, '')))"
+
 TEXTS = {
     # Flags and group-by shard
     "audit_profile_by_source": lambda d: f"""
@@ -93,9 +96,12 @@ TEXTS = {
     "char_inventory": lambda d: f"""
         SELECT ch, count(*) AS n FROM (SELECT {'explode' if d.spark else 'unnest'}({d.chars("text")}) AS ch FROM {d.t('documents')}) c WHERE ch <> '' GROUP BY ch ORDER BY n DESC, ch""",
     # A4 A5
-    "distinct_dup_texts": lambda d: f"SELECT count(*) AS n, count(DISTINCT trim(coalesce(text, ''))) AS distinct_texts, count(*) - count(DISTINCT trim(coalesce(text, ''))) AS duplicates FROM {d.t('documents')}",
+    "distinct_dup_texts": lambda d: f"SELECT count(*) AS n, count(DISTINCT {_digest}) AS distinct_texts, count(*) - count(DISTINCT {_digest}) AS duplicates FROM {d.t('documents')}",
     # O1
-    "top_texts": lambda d: f"SELECT trim(text) AS body, count(*) AS n, min(doc_id) AS first_id FROM {d.t('documents')} WHERE text IS NOT NULL GROUP BY trim(text) ORDER BY n DESC, first_id LIMIT 15",
+    "top_texts": lambda d: f"""
+        SELECT trim(text) AS body, n, first_id FROM (
+            SELECT digest, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, {_digest} AS digest FROM {d.t('documents')} WHERE text IS NOT NULL) t GROUP BY digest ORDER BY n DESC, first_id LIMIT 15) w
+        JOIN {d.t('documents')} ON doc_id = first_id AND {_digest} = digest""",
     # P8 P9 P11
     "loader_filters": lambda d: f"SELECT idx, n_chars, duration FROM ({manifest(d)}) m WHERE body <> '' AND n_chars <= 4000 AND duration BETWEEN 0.8 AND 13 AND n_letters >= 4",
     "first_rows": lambda d: f"SELECT idx, n_chars FROM ({manifest(d)}) m ORDER BY idx LIMIT 100",
@@ -110,6 +116,12 @@ TEXTS = {
     "row_offsets": lambda d: f"""
         SELECT source, n, CAST(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS BIGINT) AS row_offset
         FROM (SELECT source, count(*) AS n FROM {d.t('documents')} GROUP BY source) s""",
+    # A number for every row, dense within the table: rows before its source, rows of its source before its slot of ids, place in the slot
+    "row_ids": lambda d: f"""
+        SELECT doc_id, r.source AS source, CAST(n_before + k - 1 AS BIGINT) AS row_id FROM (
+            SELECT doc_id, source, slot, row_number() OVER (PARTITION BY source, slot ORDER BY doc_id, md5(coalesce(text, ''))) AS k FROM (SELECT doc_id, source, text, doc_id % 1024 AS slot FROM {d.t('documents')}) s) r
+        JOIN (SELECT source, slot, sum(n) OVER (ORDER BY source, slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS n_before
+              FROM (SELECT source, doc_id % 1024 AS slot, count(*) AS n FROM {d.t('documents')} GROUP BY source, doc_id % 1024) c) o ON r.source = o.source AND r.slot = o.slot""",
     # S15
     "centre_crop": lambda d: f"""
         SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE substring(text, CAST(floor((length(text) - 200) / 2) AS INT) + 1, 200) END AS crop FROM {d.t('documents')}""",

@@ -112,6 +112,14 @@ def wav_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.wav_samples(_tones(spark, sf_dir), 8000).select("idx", F.size("samples").alias("n"), F.round(F.array_max("samples").cast("double"), 4).alias("peak"))
 
 
+def wav_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of up to twice the range, written as WAV bytes and read again."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("idx"))
+    loud = nations.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (k - 5) * F.col("idx") / 60))
+    back = files.wav_samples(files.wav_bytes(loud, 8000), 8000)
+    return back.select("idx", F.size("samples").alias("n"), F.round(F.array_max(F.transform("samples", F.abs)).cast("double"), 3).alias("peak"))
+
+
 def ezafe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A left-to-right recurrence as a fold: a turn counts if its length is even and the turn before did not count."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t"))
@@ -190,6 +198,7 @@ ORACLE = {
     "sentence_phonemes": """SELECT * FROM (VALUES
         (0, 'کتاب/من/روی/میز/است', 'ket1Ab- m1an r1uy- m1iz 1ast'), (1, 'مرد/را/دید', 'm1ard rA d1id'), (2, 'او/دیروز/مرد', '1u dir1uz m1ord'), (3, 'این/کتاب/خوب', '1in ket1Ab x1ub'),
         (4, 'ساعت/نه/صبح', 'sAQ1at n1oh- s1obh'), (5, 'نه/شما', 'n1ay- shom1A'), (6, 'پر/از/گل', 'p1or az g1ol'), (7, 'علی/به/تهران/رفت', 'Qal1i be tehr1An r1aft')) v(id, tokens, phonemes)""".replace("Q", "''"),
+    "wav_roundtrip": "SELECT n_nationkey::BIGINT AS idx, 10 AS n, round(floor(least(1, n_nationkey * 5 / 60.0) * 32767) / 32768, 3)::DOUBLE AS peak FROM nation",
     "source_file": "SELECT doc_id, 'documents.parquet' AS shard FROM documents",
     "wav_header": "SELECT n_nationkey::BIGINT AS idx, ((400 + 40 * n_nationkey) / 8000.0)::DOUBLE AS duration, 8000 AS sample_rate, 'WAV' AS format FROM nation",
     "ezafe_fold": """
@@ -207,7 +216,7 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (
-        frontend_ids, word_phonemes, sentence_phonemes, sentence_chunks, monotonic_path, agglomerative_clusters, cluster_sweep, effective_dims, exact_rate_window, source_file, wav_header, wav_decode,
+        frontend_ids, word_phonemes, sentence_phonemes, sentence_chunks, monotonic_path, agglomerative_clusters, cluster_sweep, effective_dims, exact_rate_window, source_file, wav_header, wav_decode, wav_roundtrip,
         ezafe_fold, shuffle_buffer, conjugation, jsonl_roundtrip, packed_roundtrip, report_roundtrip, vectors_roundtrip, lexicon_parse, golden_parse,
     )
 }

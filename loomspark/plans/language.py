@@ -123,7 +123,15 @@ TEXTS |= {
     "homograph_context": lambda d: f"""
         SELECT id, pos, w, {_readings()} AS reading
         FROM (SELECT id, pos, w, lag(w) OVER s AS before, lead(w) OVER s AS after FROM ({placed(d)}) p WINDOW s AS (PARTITION BY id ORDER BY pos)) c WHERE w IN ({', '.join(sorted({f"'{h[0]}'" for h in g2p.HOMOGRAPHS}))})""",
-    # Symbols and ids side by side
+    # Marks that a text carries before they are stripped
+    "mark_flags": lambda d: f"""
+        SELECT id, length(u) AS n_chars, {d.has('u', persian.DIACRITICS)} AS has_diacritics, {d.has('u', persian.TANWIN)} AS has_tanwin, {d.has('u', '[0-9]')} AS has_digit, {d.has('u', '[A-Za-z]')} AS has_latin, {d.has('u', ZWNJ)} AS has_zwnj
+        FROM (SELECT id, {persian.digits(d, persian.unify(d, 's'))} AS u FROM ({rows(PHRASES)}) p) t""",
+    # Two arrays by place
+    "positional_zip": lambda d: f"""
+        SELECT id, z.w AS w, z.n AS n FROM (SELECT id, {"explode(transform(arrays_zip(ws, ns), x -> named_struct('w', x.ws, 'n', x.ns)))" if d.spark else "unnest(list_transform(list_zip(ws, ns), lambda x: {'w': x[1], 'n': x[2]}))"} AS z
+        FROM (SELECT id, {d.split('s', ' ')} AS ws, {d.map(d.split('s', ' '), 'x', 'CAST(length(x) AS BIGINT)')} AS ns FROM ({rows(SENTENCES)}) p) a) b""",
+    # Symbols and ids side by side
     "id_lookup": lambda d: f"SELECT p.s AS symbol, {phonemes.UNKNOWN + 0} AS unknown_id, coalesce(i.id, {phonemes.UNKNOWN}) AS symbol_id FROM ({rows(('sh', 'A', 'zz', '1', 'x', '@'))}) p LEFT JOIN ({rows(phonemes.SYMBOLS)}) i ON p.s = i.s",
 }
 

@@ -50,6 +50,10 @@ TEXTS = {
         SELECT event_type, round(avg((1 - x) * (1 - x)) + avg(y * y), 6) AS discriminator, round(avg((1 - y) * (1 - y)), 6) AS generator, round(avg(abs(x - y)), 6) AS feature,
                round(sum(CASE WHEN event_id % 3 > 0 THEN x * y END) / count(CASE WHEN event_id % 3 > 0 THEN 1 END), 6) AS masked
         FROM (SELECT event_type, event_id, value / 100 AS x, (event_id % 10) / CAST(10 AS DOUBLE) AS y FROM {d.t('events')}) v GROUP BY event_type""",
+    # Divergence of a posterior from a prior, at a sample, over the frames of a mask
+    "kl_loss": lambda d: f"""
+        SELECT user_id, round(sum(CASE WHEN event_id % 5 > 0 THEN logs_p - logs_q - 0.5 + 0.5 * (z - m) * (z - m) * exp(-2 * logs_p) END) / count(CASE WHEN event_id % 5 > 0 THEN 1 END), 6) AS kl
+        FROM (SELECT user_id, event_id, value / 100 AS z, CAST(event_id % 10 AS DOUBLE) / 10 AS m, -CAST(event_id % 7 AS DOUBLE) / 7 AS logs_q, CAST(event_id % 3 AS DOUBLE) / 3 AS logs_p FROM {d.t('events')}) v GROUP BY user_id""",
     # X5 X6 X9
     "length_masks": lambda d: f"""
         SELECT n_nationkey, {d.join(d.map(d.sequence('1', '8'), 'k', "CASE WHEN k <= n_nationkey % 9 THEN '1' ELSE '0' END"), '')} AS mask, CAST(floor(n_nationkey * 37 / CAST(16 AS DOUBLE)) * 16 AS BIGINT) AS trimmed,

@@ -58,3 +58,17 @@ def test_lexicon_and_wav(spark, tmp_path):
     head = {r.idx: (r.duration, r.sample_rate, r.format) for r in files.wav_header(df).collect()}
     assert head == {1: (0.5, 8000, "WAV"), 2: (None, None, None), 3: (None, None, None)}
     assert [(r.idx, len(r.samples), r.samples[0]) for r in files.wav_samples(df, 8000).collect()] == [(1, 4000, 0.5)] and files.wav_samples(df, 16000).count() == 0
+
+
+def test_golden_with_a_lexicon_of_ones_own(spark, tmp_path, capsys):
+    (tmp_path / "g.tsv").write_text("# id\n1\tezafe\tباد خوش\tb1Ad- x1osh\n?2\tgeneral\tباد\tb1Ad\n3\tgeneral\tباد\tb1od\n", encoding="utf-8")
+    (tmp_path / "l.tsv").write_text("باد\tbAd\nخوش\txosh\n", encoding="utf-8")
+    got = {r.category: (r.n, round(r.exact, 3), r.tp, r.fp, r.fn) for r in jobs.evaluate_golden(spark, str(tmp_path / "g.tsv"), str(tmp_path / "l.tsv")).collect()}
+    assert got == {"overall": (3, 0.667, 1, 0, 0), "ezafe": (1, 1.0, 1, 0, 0), "general": (2, 0.5, 0, 0, 0)}
+    assert cli.main(["evaluate", str(tmp_path / "g.tsv"), "--lexicon", str(tmp_path / "l.tsv")]) == 0 and "overall" in capsys.readouterr().out
+
+
+def test_lexicon_lines_of_any_length(spark, tmp_path):
+    (tmp_path / "long.tsv").write_text("w\t" + "\t".join(f"r{i}" for i in range(2_500)) + "\n", encoding="utf-8")
+    (row,) = files.lexicon(spark, str(tmp_path / "long.tsv")).collect()
+    assert row.readings == [f"r{i}" for i in range(2_500)]
