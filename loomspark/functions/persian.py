@@ -133,8 +133,8 @@ def normalised_text(text: str, spelled: bool = True) -> str:
 def fold_marks(x: str) -> str:
     """Spark only: the Arabic decimal sign between digits to a dot, grouping marks of proper groups removed."""
     x = f"regexp_replace({x}, '(?<=[0-9])٫(?=[0-9])', '.')"
-    # Each mark goes if whole groups of three lead from it to the number's end and at most three digits precede the first.
-    return f"regexp_replace({x}, '(?<![0-9,٬])([0-9]{{1,3}})[,٬](?=[0-9]{{3}}(?![0-9,٬]))', '$1')"
+    # A mark goes if at most three digits and whole groups of three lead to it, and whole groups from it to the number's end.
+    return f"regexp_replace({x}, '(?<=(?<![0-9])[0-9]{{1,3}}(?:[,٬][0-9]{{3}}){{0,9}})[,٬](?=[0-9]{{3}}(?:[,٬][0-9]{{3}})*(?![0-9]))', '')"
 
 
 def tokens(d: Dialect, x: str) -> str:

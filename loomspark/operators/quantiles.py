@@ -35,6 +35,16 @@ def exact_quantiles(df: DataFrame, column: str, quantiles: list[float]) -> list[
         values.unpersist()
 
 
+def column_report(df: DataFrame, columns: list[str], quantiles: list[float]) -> dict[str, tuple[list[float] | None, float, float, float]]:
+    """Exact quantiles, mean, least and largest value of several columns, whose rows are computed once."""
+    held = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        plain = held.agg(*[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("mean", F.avg), ("least", F.min), ("most", F.max))]).first()
+        return {c: (_all(held.select(F.col(c).alias("x")).filter("x IS NOT NULL"), quantiles), plain[f"mean_{c}"], plain[f"least_{c}"], plain[f"most_{c}"]) for c in columns}
+    finally:
+        held.unpersist()
+
+
 def _all(values: DataFrame, quantiles: list[float]) -> list[float] | None:
     total = values.count()
     if not total:

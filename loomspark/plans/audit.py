@@ -8,7 +8,11 @@ a document is the proxy ``1 + doc_id * 37 % 390 / 10`` seconds, and its MOS ``2.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..functions.dialect import Dialect, catalogue
+from ..operators.quantiles import column_report
 
 DURATION = "(1.0 + (doc_id * 37 % 390) / 10.0)"
 HISTOGRAM_EDGES = (0, 0.5, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 60)
@@ -128,3 +132,16 @@ TEXTS = {
 }
 
 QUERIES, ORACLE = catalogue(TEXTS)
+
+
+def text_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: percentiles, mean, least and largest of three measures of the manifest, which is computed once for all."""
+    measures = ["duration", "n_chars", "rate"]
+    report = column_report(spark.sql(manifest(Dialect(True, sf_dir, spark))), measures, [q / 100 for q in QUANTILES])
+    names = [*(f"p{q}" for q in QUANTILES), "mean", "lowest", "highest"]
+    rows = [(m, *(found or [None] * len(QUANTILES)), *rest) for m, (found, *rest) in report.items()]
+    plain = spark.createDataFrame(rows, "measure string, " + ", ".join(f"{n} double" for n in names))
+    return plain.select("measure", *(F.round(n, 4).alias(n) for n in names))
+
+
+QUERIES["text_percentiles"] = text_percentiles

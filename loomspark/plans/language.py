@@ -154,3 +154,19 @@ def fold_marks(spark, sf_dir: str):
 
 
 QUERIES |= {"expand_numbers": expand_numbers, "normalise_text": normalise_text, "fold_marks": fold_marks}
+
+# What the entities and phrases read as, written out: the oracle of the steps that SQL has no patterns for.
+SPELLED = (
+    "دوازدهم مرداد هزار و چهارصد و سه", "پانزدهم مارس دو هزار و بیست و چهار", "هزار و چهارصد و سه/نوزده دوازدهم", "ساعت چهارده و سی دقیقه و پانزده ثانیه", "از ساعت نه تا یازده", "چهل و پنج درصد", "چهل و پنج درصد",
+    "پنج هزار تومان", "هزار تومان", "صفر دو یک هشت هشت هفت هفت شش شش پنج پنج", "صفر نه یک دو یک دو سه چهار پنج شش هفت", "هزار تا دو هزار", "منفی پنج", "سه چهارم", "سه ممیز چهارده صدم", "سوم", "بیستم", "دوازده کیلومتر بر ساعت",
+    "پنج کیلوگرم", "یک میلیون و دویست و سی و چهار هزار و پانصد و شصت و هفت", "دو ممیز پنج دهم", "صفر", "یک دو سه چهار پنج شش هفت هشت نه صفر یک دو سه", "متن بی عدد",
+)
+NORMAL = (
+    "سلام، دنیا! حال شما چطور است؟", f"کتاب{ZWNJ}های خوب را می{ZWNJ}خوانم.", "مثلان این جمله", "قیمت پنج هزار تومان است.", f"می{ZWNJ}روم به خانه؛ شما؟", "چهل و پنج درصد از مردم", "مدرسه بزرگ", "و صد و بیست و سه", "", "«نقل قول» (پرانتز): پایان.",
+)
+FOLDED = tuple({"1,000 تومان": "1000 تومان", "1٬234٬567": "1234567", "2٫5": "2.5"}.get(e, e) for e in ENTITIES)
+ORACLE |= {
+    "expand_numbers": f"SELECT e.id, e.s, w.s AS words FROM ({rows(ENTITIES)}) e JOIN ({rows(SPELLED)}) w USING (id)",
+    "normalise_text": f"SELECT id, s AS normal FROM ({rows(NORMAL)}) n",
+    "fold_marks": f"SELECT id, s AS folded FROM ({rows(FOLDED)}) f",
+}
