@@ -8,8 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
+from pyspark.sql import functions as F
 
 from loomspark.llm import op3_toxicity, op5_line_dedup, op7_quality, op8_simhash, op9_sharding
+from loomspark.llm.common import labelled_sample
 from loomspark.llm.components import components
 
 RNG = random.Random(9)
@@ -193,6 +196,54 @@ def test_classifiers(spark, module, column):
     assert module.score(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_window_lengths_against_a_fresh_compressor():
+    toxic, ordinary = ([[word() for _ in range(60)] for _ in range(40)] for _ in range(2))
+    for p in toxic:
+        p[RNG.randrange(60)] = "zorgblatt"
+    common, own = op3_toxicity.train_dictionaries(toxic, ordinary)
+    params = dict(window_log=18, hash_log=17, chain_log=16, search_log=6, min_match=6, target_length=16, strategy=zstandard.STRATEGY_DFAST, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+    def length(window, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=zstandard.ZstdCompressionParameters(**params)).compress(window))
+
+    for words in (toxic[0], ordinary[0], ["one"], ["x" * 700_000, "zorgblatt"], []):
+        starts = range(0, max(1, len(words) - op3_toxicity.WINDOW + op3_toxicity.STRIDE), op3_toxicity.STRIDE) if words else []
+        windows = [f" {' '.join(words[i : i + op3_toxicity.WINDOW])} ".encode() for i in starts]
+        saved = np.array([length(w, common) - length(w, own) for w in windows], dtype=int)
+        want = [np.log1p((saved >= s).sum()) for s in op3_toxicity.SAVINGS]
+        assert op3_toxicity.evidence(words, common, own)[: len(want)].tolist() == want
+
+
+def test_density_against_the_formula():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 16)) @ rng.normal(size=(16, 16))
+    y = rng.integers(0, 2, 400)
+    x[y == 1] += 1.5
+    model = op7_quality.fit(x, y, {0: 200, 1: 200})
+    back = np.arange(400) % 4 == 3
+    z = (x - x[~back].mean(axis=0)) / x[~back].std(axis=0)
+    own = [np.cov(z[~back & (y == k)].T, bias=True) for k in (0, 1)]
+    pooled = sum(c * (y[~back] == k).mean() for k, c in enumerate(own))
+    density = []
+    for k in (0, 1):
+        cov = (1 - op7_quality.SHRINK_POOLED) * own[k] + op7_quality.SHRINK_POOLED * pooled
+        cov = (1 - op7_quality.SHRINK_DIAGONAL) * cov + op7_quality.SHRINK_DIAGONAL * np.diag(np.diag(cov)) + op7_quality.FLOOR * np.eye(16)
+        off = z - z[~back & (y == k)].mean(axis=0)
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off) + np.linalg.slogdet(cov)[1]))
+    assert np.allclose(model.difference(x), density[1] - density[0])
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(300)] + [(5, "a"), (400, "y" * 5_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(400, 1), (7, 0), (None, 1)], "doc_id long, toxic int")
+    found = labelled_sample(docs, labels, "toxic", F.col("doc_id") >= 0, 140, 12_000).collect()
+    for y in (0, 1):
+        part = [r for r in found if r.y == y]
+        assert 0 < sum(len(r.text) for r in part) <= 12_000 and len(part) <= 140
+    assert len({r.doc_id for r in found}) == len(found)
+
+
 def test_sweep(spark):
     from loomspark.llm.common import durable, sweep
 
