@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only while its rows, at the stated width, stay under this.
@@ -87,8 +87,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows:
     order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
     parts = [known.filter(F.col("y") == y).orderBy(*order).limit(rows) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("y").alias("y"))
-    text = text_or_empty()
-    found = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= size // 100).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    so_far = F.sum("n").over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    chosen = found.select("doc_id", "y", F.octet_length("text").alias("n")).withColumn("n", so_far).filter(F.col("n") <= size).select("doc_id")
-    return found.join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    sizes = texts.select("doc_id", F.octet_length("text").alias("n")).filter(F.col("n") <= size // 100).join(F.broadcast(ids), "doc_id")
+    # At most two rows of numbers for each labelled page that learning may read.
+    found = sizes.groupBy("doc_id", "y").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")).orderBy(*order).collect()
+    left, chosen = {0: size, 1: size}, []
+    for r in found:
+        left[r["y"]] -= r["n"]
+        if left[r["y"]] >= 0:
+            chosen.append((r["doc_id"], r["y"]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    picked = texts.filter(F.octet_length("text") <= size // 100).join(F.broadcast(docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, y int")), "doc_id")
+    return picked.groupBy("doc_id", "y").agg(F.min("text").alias("text")) if any(r["rows"] > 1 for r in found) else picked

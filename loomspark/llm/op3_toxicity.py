@@ -62,10 +62,25 @@ def words_of(text: str | None) -> list[str]:
 
 def toxic_spans(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[str, float]:
     """Words whose distinct contexts lean to toxic pages, with their likelihood ratio."""
+    number = {"": 0}
+    for p in (*toxic, *ordinary):
+        for w in p:
+            number.setdefault(w, len(number))
+    names, size = list(number), len(number)
 
     def contexts(pages):
-        seen = {t for p in pages for t in zip(["", *p], p, [*p[1:], ""])}
-        return Counter(w for _, w, _ in seen), max(1, len(seen))
+        """Of each word the distinct (word before, word, word after), and how many there are of all."""
+        pairs, after = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for p in pages:
+            at = np.array([0, *(number[w] for w in p), 0], dtype=np.int64)
+            pairs.append(at[:-2] * size + at[1:-1])
+            after.append(at[2:])
+        pairs, after = np.concatenate(pairs), np.concatenate(after)
+        order = np.lexsort((after, pairs))
+        pairs, after = pairs[order], after[order]
+        seen = pairs[np.append(True, (pairs[1:] != pairs[:-1]) | (after[1:] != after[:-1]))[: len(pairs)]]
+        counts = np.bincount(seen % size, minlength=size)
+        return Counter({names[i]: int(counts[i]) for i in np.flatnonzero(counts)}), max(1, len(seen))
 
     (ft, nt), (fo, no) = contexts(toxic), contexts(ordinary)
     out = {}
@@ -143,11 +158,12 @@ def fit(sample: list[tuple[int, str, int]], counts: dict[int, int]) -> ToxicityM
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     seen: set[str] = set()
+    one: dict[str, str] = {}  # a string for each word, however often it stands
     pages: dict[int, list[list[str]]] = {0: [], 1: []}
     for _, text, label in sorted(sample):
         if text not in seen:
             seen.add(text)
-            pages[label].append(words_of(text))
+            pages[label].append([one.setdefault(w, w) for w in words_of(text)])
     if min(len(pages[0]), len(pages[1])) < 6:
         return ToxicityModel(b"", b"", (), prior)
     held = {y: p[2::3] for y, p in pages.items()}
