@@ -107,6 +107,11 @@ def wav_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.wav_header(_tones(spark, sf_dir)).drop("audio")
 
 
+def audio_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: how many clips there are of each format and rate."""
+    return files.wav_header(_tones(spark, sf_dir)).groupBy("format", "sample_rate").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration"), 6).alias("seconds"))
+
+
 def wav_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S14"""
     return files.wav_samples(_tones(spark, sf_dir), 8000).select("idx", F.size("samples").alias("n"), F.round(F.array_max("samples").cast("double"), 4).alias("peak"))
@@ -187,6 +192,13 @@ def lexicon_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.lexicon(spark, path).select(F.col("key").alias("word_key"), F.array_join("readings", "/").alias("readings"))
 
 
+def lexicon_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines parted by white space of any kind."""
+    path = _folder(spark, "lexicon")
+    spark.createDataFrame([(LEXICON.replace("\t", "  \t"),)], "value string").coalesce(1).write.text(path)
+    return files.lexicon(spark, path, r"\s+").select(F.col("key").alias("word_key"), F.array_join("readings", "/").alias("readings"))
+
+
 def golden_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S11"""
     path = _folder(spark, "golden")
@@ -199,6 +211,7 @@ ORACLE = {
         (0, 'کتاب/من/روی/میز/است', 'ket1Ab- m1an r1uy- m1iz 1ast'), (1, 'مرد/را/دید', 'm1ard rA d1id'), (2, 'او/دیروز/مرد', '1u dir1uz m1ord'), (3, 'این/کتاب/خوب', '1in ket1Ab x1ub'),
         (4, 'ساعت/نه/صبح', 'sAQ1at n1oh- s1obh'), (5, 'نه/شما', 'n1ay- shom1A'), (6, 'پر/از/گل', 'p1or az g1ol'), (7, 'علی/به/تهران/رفت', 'Qal1i be tehr1An r1aft')) v(id, tokens, phonemes)""".replace("Q", "''"),
     "wav_roundtrip": "SELECT n_nationkey::BIGINT AS idx, 10 AS n, round(floor(least(1, n_nationkey * 5 / 60.0) * 32767) / 32768, 3)::DOUBLE AS peak FROM nation",
+    "wav_decode": "SELECT n_nationkey::BIGINT AS idx, (400 + 40 * n_nationkey)::INT AS n, round(max(floor(sin(i * 0.1) * 9000)) / 32768, 4) AS peak FROM nation, generate_series(0, 2000) s(i) WHERE i < 400 + 40 * n_nationkey GROUP BY n_nationkey",
     "source_file": "SELECT doc_id, 'documents.parquet' AS shard FROM documents",
     "wav_header": "SELECT n_nationkey::BIGINT AS idx, ((400 + 40 * n_nationkey) / 8000.0)::DOUBLE AS duration, 8000 AS sample_rate, 'WAV' AS format FROM nation",
     "ezafe_fold": """
@@ -211,12 +224,14 @@ ORACLE = {
     "report_roundtrip": "SELECT r_regionkey, r_name FROM region",
     "vectors_roundtrip": "SELECT vec_id, label, len(embedding) AS dim FROM embeddings",
     "lexicon_parse": "SELECT * FROM (VALUES ('کتاب', 'ketAb/keteb'), ('خانه', 'xAne'), ('مرد', 'mard/mord')) v(word_key, readings)",
+    "lexicon_spaces": "SELECT * FROM (VALUES ('کتاب', 'ketAb/keteb'), ('خانه', 'xAne'), ('مرد', 'mard/mord')) v(word_key, readings)",
+    "audio_counters": "SELECT 'WAV' AS format, 8000 AS sample_rate, count(*) AS n, round(sum((400 + 40 * n_nationkey) / 8000.0), 6)::DOUBLE AS seconds FROM nation",
     "golden_parse": "SELECT * FROM (VALUES ('1', 'ezafe', 'کتاب من', 'ket1Ab- man', true), ('2', 'zwnj', 'می‌روم', 'm1iravam', false)) v(id, category, text, phonemes, reviewed)",
 }
 QUERIES = {
     f.__name__: f
     for f in (
-        frontend_ids, word_phonemes, sentence_phonemes, sentence_chunks, monotonic_path, agglomerative_clusters, cluster_sweep, effective_dims, exact_rate_window, source_file, wav_header, wav_decode, wav_roundtrip,
-        ezafe_fold, shuffle_buffer, conjugation, jsonl_roundtrip, packed_roundtrip, report_roundtrip, vectors_roundtrip, lexicon_parse, golden_parse,
+        frontend_ids, word_phonemes, sentence_phonemes, sentence_chunks, monotonic_path, agglomerative_clusters, cluster_sweep, effective_dims, exact_rate_window, source_file, wav_header, audio_counters, wav_decode, wav_roundtrip,
+        ezafe_fold, shuffle_buffer, conjugation, jsonl_roundtrip, packed_roundtrip, report_roundtrip, vectors_roundtrip, lexicon_parse, lexicon_spaces, golden_parse,
     )
 }
