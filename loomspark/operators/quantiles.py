@@ -14,7 +14,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a bracket that are ordered outright.
@@ -110,3 +110,45 @@ def _by_counts(rows: DataFrame, below: int, place: float) -> float:
             break
     low, high = found[0], found[-1]
     return low + (high - low) * (place - k)
+
+
+def _by_group(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Rows of the same ``g``; null is a group like others."""
+    return one.join(two.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).drop("h")
+
+
+def grouped_quantiles(df: DataFrame, group: str, column: str, quantiles: list[float], out: str = "ps") -> DataFrame:
+    """``group`` and an array of exact interpolated quantiles of each group; nulls are skipped, groups without a value go.
+
+    A sketch of each group brackets the wanted ranks, counts tell what stands below, and only values
+    within the brackets are put in order, each distinct one once. No aggregate holds a group's values.
+    """
+    spans = range(len(quantiles))
+    values = df.select(F.col(group).alias("g"), F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    asked = [p for q in quantiles for p in (max(0.0, q - 2 * ERROR), min(1.0, q + 2 * ERROR))]
+    cuts = values.groupBy("g").agg(F.percentile_approx("x", asked, int(1 / ERROR)).alias("c"))
+    met = _by_group(values, cuts)
+    low, high = (lambda k: F.col("c")[2 * k]), (lambda k: F.col("c")[2 * k + 1])
+    x = F.col("x")
+    counts = met.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(x < low(k)).alias(f"below{k}") for k in spans],
+        *[F.max(F.when(x < low(k), x)).alias(f"prior{k}") for k in spans],
+        *[F.min(F.when(x > high(k), x)).alias(f"next{k}") for k in spans],
+    )
+    # k, x and how often x stands in the k-th bracket; then the place of its last row from the bracket's first.
+    inside = met.select("g", "x", F.explode(F.filter(F.array(*[F.when(x.between(low(k), high(k)), k) for k in spans]), lambda k: k.isNotNull())).alias("k"))
+    upto = F.sum("m").over(Window.partitionBy("g", "k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.groupBy("g", "k", "x").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", upto)
+    need = counts.select("g", *[F.struct(F.floor((F.col("n") - 1) * q).alias("first"), F.least(F.floor((F.col("n") - 1) * q) + 1, F.col("n") - 1).alias("second"), F.col(f"below{k}").alias("below")).alias(f"p{k}") for k, q in zip(spans, quantiles)])
+    at = lambda k, side: F.min(F.when((F.col("k") == k) & (F.col("upto") > F.col(f"p{k}.{side}") - F.col(f"p{k}.below")), F.col("x"))).alias(f"{side}{k}")
+    found = _by_group(ranked, need).groupBy("g").agg(*[at(k, side) for k in spans for side in ("first", "second")])
+    both = _by_group(counts, found)
+
+    def value(k: int, q: float):
+        place = (F.col("n") - 1) * q
+        first = F.when(F.floor(place) < F.col(f"below{k}"), F.col(f"prior{k}")).otherwise(F.coalesce(f"first{k}", f"next{k}"))
+        second = F.coalesce(f"second{k}", f"next{k}", first)
+        return first + (second - first) * (place - F.floor(place))
+
+    return both.select(F.col("g").alias(group), F.array(*[value(k, q) for k, q in zip(spans, quantiles)]).alias(out))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Dialect, catalogue
-from ..operators.quantiles import column_report
+from ..operators.quantiles import column_report, grouped_quantiles
 
 DURATION = "(1.0 + (doc_id * 37 % 390) / 10.0)"
 HISTOGRAM_EDGES = (0, 0.5, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 60)
@@ -144,4 +144,14 @@ def text_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.select("measure", *(F.round(n, 4).alias(n) for n in names))
 
 
-QUERIES["text_percentiles"] = text_percentiles
+def audit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours, mean duration and medians by shard, the medians without an aggregate that holds a shard."""
+    rows = spark.sql(manifest(Dialect(True, sf_dir, spark)))
+    plain = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration") / 3600, 6).alias("hours"), F.round(F.avg("duration"), 6).alias("mean_duration"))
+    for name in ("rate", "mos"):
+        median = grouped_quantiles(rows, "shard", name, [0.5]).withColumnRenamed("shard", "s")
+        plain = plain.join(median, F.col("shard").eqNullSafe(F.col("s")), "left").withColumn(f"median_{name}", F.round(F.col("ps")[0], 6)).drop("s", "ps")
+    return plain
+
+
+QUERIES |= {"text_percentiles": text_percentiles, "audit_shards": audit_shards}

@@ -6,7 +6,11 @@ that edit distance counts characters in both engines.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..functions.dialect import Dialect, catalogue
+from ..operators.quantiles import grouped_quantiles
 
 ACCENTED, PLAIN = "àáâäçèéêëìíîïñòóôöùúûüß", "aaaaceeeeiiiinoooouuuus"
 THRESHOLDS = (0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 0.9)
@@ -54,3 +58,12 @@ TEXTS = {
 }
 
 QUERIES, ORACLE = catalogue(TEXTS)
+
+
+def median_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median of each kind of event."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return grouped_quantiles(events, "event_type", "value", [0.5]).select("event_type", F.round(F.col("ps")[0], 6).alias("median_value"))
+
+
+QUERIES["median_latency"] = median_latency

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import clustering, corpus, quantiles, sequence
+from loomspark.operators.quantiles import grouped_quantiles
 
 
 @pytest.mark.parametrize("shape", ["spread", "ties", "few"])
@@ -81,3 +82,14 @@ def test_window_and_tier(spark):
     kept = df.filter(corpus.tier("mos_ovr", 3.0, "duration", 5.0, 5.0, "rate", (low, high)))
     assert kept.count() == sum(r[2] == 3.0 and low <= r[1] <= high for r in rows) and corpus.mos_columns(df) == ["mos_ovr"]
     assert df.filter(F.col("idx") < 0).select("rate").count() == 0 and corpus.fit_window(df.limit(0)) is None
+
+
+def test_grouped_quantiles(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=30_000), "b": np.round(rng.exponential(size=5_000)), "c": np.array([4.0]), "d": np.arange(10.0), "e": np.full(900, 2.0), None: rng.normal(size=17), "f": np.append(np.full(2_000, 1.0), np.arange(2.0, 900.0))}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("g", None)]
+    wanted = [0.0, 0.02, 0.25, 0.5, 0.9, 0.98, 1.0]
+    got = {r.g: r.ps for r in grouped_quantiles(spark.createDataFrame(rows, "g string, x double"), "g", "x", wanted).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        assert np.allclose(got[g], np.quantile(xs, wanted), rtol=0, atol=1e-12), g
