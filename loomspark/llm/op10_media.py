@@ -53,7 +53,7 @@ LEAST_RESPONSE = 0.1
 #: Bit samples (tables) and their width.
 TABLES, TABLE_BITS = 6, 24
 #: Full Hamming distance of a match, at most; corners that must vote for one similarity.
-MAX_DISTANCE, LEAST_VOTES = 28, 4
+MAX_DISTANCE, LEAST_VOTES = 24, 4
 #: Entries of a bucket beyond which it is dealt in blocks; pairs compared at once; rows aimed at for a partition.
 BUCKET_ROWS, PAIR_ROWS, PARTITION_ROWS = 4_000, 1 << 18, 300_000
 #: Votes fall in bins of this rotation (degrees), scale (octaves) and shift (pixels), on two grids half a bin apart.
@@ -335,6 +335,12 @@ def proposals(entries: DataFrame, rows: int, pairs, all_blocks: bool) -> DataFra
     return cells(entries, all_blocks).repartition(partitions, "cell").mapInArrow(run, "u long, v long").distinct()
 
 
+def few_partners(pairs: DataFrame) -> DataFrame:
+    """Of an image's pairs with hubs at most three, which join a dense group as well; whatever that leaves apart meets again in the second search."""
+    chosen = pairs.groupBy("u").agg(F.array_distinct(F.array(F.min("v"), F.max("v"), F.min_by("v", F.xxhash64("u", "v")))).alias("v"))
+    return chosen.select("u", F.explode("v").alias("v"))
+
+
 def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
     """Whether enough corners of two images (spots, bits) vote for one similarity."""
     (p, x), (q, y) = a, b
@@ -400,8 +406,8 @@ def find_copies(media: DataFrame) -> DataFrame:
     classes = durable(told.withColumn("node", F.monotonically_increasing_id()), "classes")
     entries = shared_entries(classes.filter("n > 0"))
     size = entries.count()
-    star = durable(proposals(entries.withColumn("label", F.col("node")), size, star_pairs, False), "first-proposals")
-    links = agreements(star, classes)
+    star = few_partners(proposals(entries.withColumn("label", F.col("node")), size, star_pairs, False))
+    links = agreements(durable(star, "first-proposals"), classes)
     moved = durable(components(links), "first-components")
     labelled = entries.join(broadcast_if_small(moved, moved.count(), 24), "node", "left").withColumn("label", F.coalesce("component", "node"))
     rest = durable(proposals(labelled, size, cross_pairs, True), "proposals")

@@ -64,7 +64,7 @@ def test_rows_of_one_id_are_images_of_their_own(spark):
 
 def test_tables_meet_over_the_radius():
     rng = np.random.default_rng(2)
-    for flipped, least in ((8, 0.95), (14, 0.75), (20, 0.5), (28, 0.25)):
+    for flipped, least in ((8, 0.95), (14, 0.75), (20, 0.5), (24, 0.35)):
         bits = np.array([rng.permutation(op10_media.BITS)[:flipped] for _ in range(3_000)])
         met = np.zeros(len(bits), dtype=bool)
         for sample in op10_media._samples():
