@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import broadcast_if_small, durable
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
@@ -38,6 +38,7 @@ CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 1 << 16
 #: Survivors held before those that later blocks have ruled out go.
 HELD_ROWS = 1 << 21
 
+BOUNDS = "query long, cand long, lower double, upper double"
 CODES = "row long, dim int, code binary, scale double, kept double, lost double"
 
 
@@ -49,6 +50,20 @@ def usable(vectors: DataFrame) -> DataFrame:
     return named.filter(fine).select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector")
 
 
+def few_equals(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` without those that k + 1 rows of an equal vector and smaller id precede.
+
+    Of equal vectors only the first k and one more, which may be the query itself, can be among k
+    nearest. Vectors are told apart by 96 bits of hashes; only rows of crowded ones are put in order.
+    """
+    marked = rows.withColumns({"h": F.xxhash64("vector"), "g": F.hash("vector")})
+    crowded = durable(marked.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select("h", "g"), "crowded-vectors")
+    crowded = broadcast_if_small(crowded, crowded.count(), 24)
+    first = F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id", "row"))
+    many = marked.join(crowded, ["h", "g"], "left_semi").withColumn("at", first).filter(F.col("at") <= k + 1)
+    return marked.join(crowded, ["h", "g"], "left_anti").select(rows.columns).unionByName(many.select(rows.columns))
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales, norms of the rounded vectors, and norms of what rounding lost."""
     scale = np.abs(x).max(axis=1) / 127
@@ -138,8 +153,8 @@ def bounded(query: Side, blocks, k: int):
         yield query.row[q], *rest
 
 
-def passed(codes: DataFrame, chunk: list, k: int) -> DataFrame:
-    """Pairs query, cand, lower and upper of one chunk of queries against all of ``codes``."""
+def passed(codes: DataFrame, chunk: list, k: int, path: str) -> None:
+    """Add the pairs query, cand, lower and upper of one chunk of queries against all of ``codes`` to a table."""
     dim = chunk[0]["dim"]
     columns = [np.array([r[c] for r in chunk]) for c in ("row", "scale", "kept", "lost")]
     sent = codes.sparkSession.sparkContext.broadcast((columns, b"".join(bytes(r["code"]) for r in chunk)))
@@ -156,7 +171,9 @@ def passed(codes: DataFrame, chunk: list, k: int) -> DataFrame:
         for out in bounded(Side(row, code, *rest), blocks(), k):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query", "cand", "lower", "upper"])
 
-    return codes.filter(F.col("dim") == dim).select("row", "code", "scale", "kept", "lost").mapInArrow(run, "query long, cand long, lower double, upper double")
+    pairs = codes.filter(F.col("dim") == dim).select("row", "code", "scale", "kept", "lost").mapInArrow(run, BOUNDS)
+    pairs.write.mode("append").parquet(path)
+    sent.destroy()  # the next chunk takes its place
 
 
 def rescored(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -197,25 +214,21 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS) -> DataFrame:
     """query_id, rank, vec_id, score, query_row of each query's k nearest; ``is_query`` is a predicate on vec_id."""
     spark = vectors.sparkSession
     rows = durable(usable(vectors).withColumn("asked", is_query), "vectors")
-    # Of equal vectors only the first k and one more, which may be the query itself, can be among k nearest.
-    equal = Window.partitionBy("vector").orderBy("vec_id", "row")
-    met = rows.withColumn("at", F.row_number().over(equal)).filter(F.col("at") <= k + 1)
     tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
-    codes = durable(encode(met).repartition(tasks), "codes")
-    asked = durable(encode(rows.filter("asked")), "query-codes")
-    spread = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found = None
+    codes = durable(encode(few_equals(rows, k)).repartition(tasks), "codes")
+    spread = {r["dim"]: -(-r["n"] // max(1, min(CHUNK_ROWS, CHUNK_BYTES // (r["dim"] + 40)))) for r in rows.filter("asked").groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not spread:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_row long")
+    chunks = F.create_map(*[F.lit(x) for pair in spread.items() for x in pair])
+    asked = encode(rows.filter("asked")).withColumn("chunk", F.pmod(F.xxhash64("row"), chunks[F.col("dim")]))
+    asked = durable(asked, "query-codes", ["dim", "chunk"])
+    found = durable(spark.createDataFrame([], BOUNDS), "bounds")
     for dim, n in sorted(spread.items()):
-        chunks = -(-n // max(1, min(CHUNK_ROWS, CHUNK_BYTES // (dim + 40))))
-        dealt = asked.filter(F.col("dim") == dim).withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
-        for at in range(chunks):
-            chunk = sorted(dealt.filter(F.col("chunk") == at).select("row", "dim", "code", "scale", "kept", "lost").collect())
+        for at in range(n):
+            chunk = sorted(asked.filter((F.col("dim") == dim) & (F.col("chunk") == at)).select("row", "dim", "code", "scale", "kept", "lost").collect())
             if chunk:
-                some = passed(codes, chunk, k)
-                found = some if found is None else found.unionByName(some)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_row long")
-    found = durable(found, "bounds")
+                passed(codes, chunk, k, found.loom_path)
+    found = spark.read.schema(BOUNDS).parquet(found.loom_path)
     # The k-th best lower bound over all tasks rules out most of what single tasks had to keep.
     floors = found.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("lower")))).filter(F.col("at") == k).select("query", F.col("lower").alias("floor"))
     left = durable(found.join(floors, "query", "left").filter("floor IS NULL OR upper >= floor").select("query", "cand"), "survivors")
