@@ -3,16 +3,17 @@
 Texts link where the Jaccard similarity of their sets of five-word shingles is 0.8 or more. At that
 similarity fingerprints differ in about 10 of 64 bits and up to twice that, so no radius of
 ``op8_simhash`` is both lossless and selective. Its Gray-order index therefore proposes the links
-within its two bits, over fingerprints of five-word shingles, and a prefix filter proposes all
-others: shingles stand in one global order, common ones last; sets of n and m elements that link
+within ``RADIUS`` bits, over fingerprints of five-word shingles, and a prefix filter proposes what
+those leave apart: shingles stand in one global order, common ones last; sets of n and m elements that link
 share one of their first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, and at the first one shared
 enough is left of both. Nothing is lost, and every pair proposed is verified on the whole sets.
 
-Equal sets collapse first, and shingles that one set alone holds go. The first round adds to the
-SimHash links a pair for each entry of a bucket (a shingle) with the bucket's hub, the set with the
+Equal sets collapse first, and shingles that one set alone holds go. Three rounds follow, and none
+proposes a pair that those before have joined. The first takes the SimHash links, a spanning forest
+of them. The second pairs each entry of a bucket (a shingle) with the bucket's hub, the set with the
 least share of shingles of its own: copies with edits of their own link to what they were made of.
-That joins dense groups by a pair per entry. The second round pairs all entries of every bucket
-whose texts are not joined yet. Both drop pairs that cannot link by a bound: a bitmap holds the
+That joins dense groups by a pair per entry. The third pairs all entries of every bucket whose texts
+are not joined yet. The last two drop pairs that cannot link by a bound: a bitmap holds the
 parity of the shingles under each of ``BITMAP`` hash values, and as many shingles at least as bits
 differ stand in one set only. A bucket of over ``BUCKET_ROWS`` entries is dealt in blocks, and each
 pair of blocks is a cell of its own, so no task holds an unbounded bucket.
@@ -41,6 +42,8 @@ from .components import components
 from .op8_simhash import SEED, majority, near_links
 
 SHINGLE = 5
+#: Bits in which fingerprints differ at most that the index proposes.
+RADIUS = 4
 #: Bits of a set's bitmap.
 BITMAP = 512
 #: Documents of the sample that orders shingles: a share, a least number, and hits that make a shingle common.
@@ -160,8 +163,8 @@ class Entries:
         return Entries(*(c[order] for c in self.columns))
 
     def linkable(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes of the pairs of entries (a, b) that can have similarity 0.8, if the place where they meet is their first."""
-        ok = self.node[a] != self.node[b]
+        """Nodes of the pairs of entries (a, b) of different labels that can have similarity 0.8, if the place where they meet is their first."""
+        ok = self.label[a] != self.label[b]
         a, b = a[ok], b[ok]
         both = self.n[a] + self.n[b]
         ok = 9 * np.minimum(self.n[a] - self.place[a], self.n[b] - self.place[b]) >= 4 * both
@@ -171,7 +174,7 @@ class Entries:
 
 
 def star_pairs(entries: Entries):
-    """Pairs of each entry with its cell's hub."""
+    """Pairs of each entry with its cell's hub, where their labels differ."""
     e = entries.sorted(entries.node, -entries.hub, entries.cell)
     at = np.arange(len(e.cell))
     for k in range(0, len(at), HELD_PAIRS):
@@ -198,14 +201,14 @@ def cross_pairs(entries: Entries):
 def cells(entries: DataFrame, all_blocks: bool) -> DataFrame:
     """``entries`` (token, m, node, n, place, label, hub, bits) under the cells each stands in.
 
-    A bucket of ``m`` entries, too many, is dealt in blocks by the label. With ``all_blocks`` an
-    entry stands in a cell for each block, so that every two blocks meet; without, in its own block's
-    cell, and the hubs of the blocks in the bucket's.
+    A bucket of ``m`` entries, too many, is dealt in blocks. With ``all_blocks``, by the label, an
+    entry stands in a cell for each block, so that every two blocks meet; without, by the node, in its
+    own block's cell, and the hubs of the blocks in the bucket's.
     """
     columns = ["node", "n", "place", "label", "hub", "bits"]
     few = entries.filter(F.col("m") <= BUCKET_ROWS).select(F.col("token").alias("cell"), *columns)
     many = entries.filter(F.col("m") > BUCKET_ROWS).withColumn("blocks", F.ceil(F.col("m") / BUCKET_ROWS).cast("int"))
-    many = many.withColumn("block", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("label" if all_blocks else "node"), F.col("blocks")).cast("int"))
     if all_blocks:
         met = many.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         return few.unionByName(met.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), *columns))
@@ -258,6 +261,16 @@ def shared_entries(lead: DataFrame) -> DataFrame:
     return entries
 
 
+def simhash_links(lead: DataFrame) -> DataFrame:
+    """Links (u, v) that connect all sets of ``lead`` (node, fp) whose fingerprints are within ``RADIUS`` bits."""
+    nodes = durable(lead.groupBy("fp").agg(F.min("node").alias("node")), "fingerprint-nodes")
+    equal = lead.select("fp", F.col("node").alias("u")).join(nodes.withColumnRenamed("node", "v"), "fp").filter("u <> v").select("u", "v")
+    links = near_links(nodes, RADIUS, True).unionByName(equal)
+    pairs = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "simhash-pairs")
+    release(nodes)
+    return pairs
+
+
 def verified(pairs: DataFrame, named: DataFrame, leads: DataFrame, repeated: bool) -> DataFrame:
     """A table of those ``pairs`` (u, v) whose whole sets have similarity 0.8 or more; ``pairs`` is a table that goes.
 
@@ -288,15 +301,16 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     entries = shared_entries(lead)
     size = entries.count()
     leads = lead.select("node", F.coalesce("head.doc_id", F.lit(0)).alias("late"), "head.key")
-    stars = candidates(entries.withColumn("label", F.col("node")), size, star_pairs, False)
-    alike = near_links(lead.select("node", "fp")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    pairs = durable(stars.unionByName(alike).distinct(), "first-pairs")
-    first = verified(pairs, named, leads, repeated)
-    moved = durable(components(first), "first-components")
-    labelled = entries.join(broadcast_if_small(moved, moved.count(), 24), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    rest = durable(candidates(labelled, size, cross_pairs, True), "rest-pairs")
-    release(entries, moved)
-    moved = durable(components(first.unionByName(verified(rest, named, leads, repeated))), "copy-components")
+    links = verified(simhash_links(lead), named, leads, repeated)
+    moved = durable(components(links), "copy-components")
+    for pairs, all_blocks in ((star_pairs, False), (cross_pairs, True)):
+        # What earlier rounds joined has one label, and no pair of it is proposed again.
+        labelled = entries.join(broadcast_if_small(moved, moved.count(), 24), "node", "left").withColumn("label", F.coalesce("component", "node"))
+        more = durable(candidates(labelled, size, pairs, all_blocks), "pairs")
+        release(moved)
+        links = links.unionByName(verified(more, named, leads, repeated))
+        moved = durable(components(links), "copy-components")
+    release(entries)
     # Only sets that are linked need the head of their component.
     members = moved.unionByName(moved.select(F.col("component").alias("node"), "component").distinct())
     n = moved.count()

@@ -31,8 +31,6 @@ from .components import components
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
-#: Bits [from, to) of the blocks; one more block than differing bits.
-BLOCKS = ((0, 22), (22, 43), (43, 64))
 #: Fingerprints under one block value beyond which the value is dealt again by finer keys.
 GROUP_ROWS = 200_000
 #: Members of a node, and nodes of an upper node.
@@ -147,8 +145,24 @@ def fold(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def local_forest(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, node) that span the links within each key's group."""
+def fold_links(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``fold``, and which of the edges (a, b) joined two trees: they span what all of them connect."""
+    joined, at = [], np.arange(len(a))
+    while True:
+        pa_, pb = parent[a[at]], parent[b[at]]
+        apart = pa_ != pb
+        if not apart.any():
+            return parent, np.concatenate(joined) if joined else at[:0]
+        at, low, high = at[apart], np.minimum(pa_, pb)[apart], np.maximum(pa_, pb)[apart]
+        high, first = np.unique(high, return_index=True)
+        parent[high] = low[first]
+        joined.append(at[first])
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+
+
+def local_forest(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int = MAX_BITS, linked: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, node) that span the links within each key's group: from each node to its tree's root or, if ``linked``, links alone."""
     order = np.lexsort((gray_rank(fps), keys))
     keys, fps, nodes = keys[order], fps[order], nodes[order]
     alone = np.ones(len(keys), dtype=bool)
@@ -157,13 +171,22 @@ def local_forest(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: i
     alone[:-1][same] = False
     keys, fps, nodes = keys[~alone], fps[~alone], nodes[~alone]
     parent = np.arange(len(keys))
+    met = [(parent[:0], parent[:0])]
     if len(keys):
         index = GrayIndex(keys, fps)
         step = QUERY_ROWS
         for at in range(0, len(keys), step):
             for row, member in index.links(fps[at : at + step], keys[at : at + step], radius):
                 later = member > row + at
-                parent = fold(parent, row[later] + at, member[later])
+                a, b = row[later] + at, member[later]
+                if linked:
+                    parent, edges = fold_links(parent, a, b)
+                    met.append((a[edges], b[edges]))
+                else:
+                    parent = fold(parent, a, b)
+    if linked:
+        a, b = (np.concatenate(x) for x in zip(*met))
+        return nodes[a], nodes[b]
     child = np.flatnonzero(parent != np.arange(len(keys)))
     return nodes[child], nodes[parent[child]]
 
@@ -172,39 +195,49 @@ def _block(lo: int, hi: int):
     return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
 
 
-def _finer(block: int):
-    """The six keys of a crowded value: pairs of four parts of the bits outside the block."""
-    rest = [b for k, b in enumerate(BLOCKS) if k != block]
+def blocks(radius: int) -> list[tuple[int, int]]:
+    """Bits [from, to) of the blocks; one more block than differing bits."""
+    cuts = [-(-64 * k // (radius + 1)) for k in range(radius + 2)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def _finer(block: int, radius: int):
+    """The keys of a crowded value: pairs of parts of the bits outside the block, two more parts than differing bits."""
+    rest = [b for k, b in enumerate(blocks(radius)) if k != block]
     parts = []
-    for lo, hi in rest:
+    for lo, hi in rest[:2]:
         mid = (lo + hi) // 2
         parts += [(lo, mid), (mid, hi)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    parts += rest[2:]
+    pairs = [(i, j) for i in range(len(parts)) for j in range(i + 1, len(parts))]
     return F.array(*[F.xxhash64(F.lit(n), _block(*parts[i]), _block(*parts[j])) for n, (i, j) in enumerate(pairs)])
 
 
-def near_links(nodes: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all distinct fingerprints of ``nodes`` (node, fp) within two bits."""
+def near_links(nodes: DataFrame, radius: int = MAX_BITS, linked: bool = False) -> DataFrame:
+    """Edges (u, v) that connect all distinct fingerprints of ``nodes`` (node, fp) within ``radius`` bits, two or more.
+
+    If ``linked``, both ends of every edge are that near; else an edge may lead to another of its component.
+    """
     spark = nodes.sparkSession
     n = nodes.count()
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), _block(*b).alias("value")) for k, b in enumerate(BLOCKS)])
+    keys = F.array(*[F.struct(F.lit(k).alias("block"), _block(*b).alias("value")) for k, b in enumerate(blocks(radius))])
     dealt = nodes.select("node", "fp", F.explode(keys).alias("k")).select("node", "fp", "k.block", "k.value")
     if n > GROUP_ROWS:  # with fewer, no value can be crowded
         crowded = durable(dealt.groupBy("block", "value").count().filter(F.col("count") > GROUP_ROWS).select("block", "value", F.lit(True).alias("crowded")), "crowded")
         dealt = dealt.join(broadcast_if_small(crowded, crowded.count(), 24), ["block", "value"], "left")
-        finer = F.when(F.col("block") == 0, _finer(0)).when(F.col("block") == 1, _finer(1)).otherwise(_finer(2))
+        finer = F.coalesce(*[F.when(F.col("block") == k, _finer(k, radius)) for k in range(radius + 1)])
         dealt = dealt.withColumn("part", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array(F.lit(0).cast("long")))))
         key = F.xxhash64("block", "value", "part")
     else:
         key = F.xxhash64("block", "value")
     dealt = dealt.select(key.alias("key"), "fp", "node")
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * n // PARTITION_ROWS))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(radius + 1) * n // PARTITION_ROWS))
 
     def run(batches):
         parts = [[np.asarray(b.column(c)) for c in range(3)] for b in batches]
         if parts:
             keys, fps, ids = (np.concatenate(x) for x in zip(*parts))
-            u, v = local_forest(keys, fps.view(np.uint64), ids)
+            u, v = local_forest(keys, fps.view(np.uint64), ids, radius, linked)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return dealt.repartition(partitions, "key").mapInArrow(run, "u long, v long")

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
-from loomspark.llm import near_copies
+from loomspark.llm import near_copies, op8_simhash
 
 
 def brute(texts):
@@ -93,3 +93,79 @@ def test_bitmap_bound_holds():
         b = np.concatenate([a[: size // 2], rng.integers(-(2**62), 2**62, size // 3)])
         x, y = (np.frombuffer(near_copies.bitmap(np.unique(t)), np.uint64) for t in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(set(a) ^ set(b))
+
+
+def test_what_simhash_joins_is_not_proposed_again(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(300)]
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.randint(1, 3)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    data = list(enumerate(texts))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    proposed, verified, near_links = [], near_copies.verified, near_copies.near_links
+
+    def spy(pairs, *rest):
+        asked = [tuple(r) for r in pairs.select("u", "v").collect()]
+        links = verified(pairs, *rest)
+        proposed.append((asked, [tuple(r) for r in links.collect()]))
+        return links
+
+    monkeypatch.setattr(near_copies, "verified", spy)
+    want, _ = brute(data)
+    found = {}
+    for index in (True, False):
+        proposed.clear()
+        monkeypatch.setattr(near_copies, "near_links", near_links if index else lambda nodes, *rest: near_links(nodes.limit(0), *rest))
+        assert {r.doc_id: r.head_id for r in near_copies.near_copies(docs).collect()} == want
+        found[index] = list(proposed)
+    (first, links), *later = found[True]
+    assert links and not found[False][0][0]
+    assert sum(len(asked) for asked, _ in later) < sum(len(asked) for asked, _ in found[False])
+    up = {}
+
+    def find(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    for asked, links in found[True]:
+        assert not any(find(u) == find(v) for u, v in asked)
+        for u, v in links:
+            if find(u) != find(v):
+                up[find(u)] = find(v)
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_simhash_links_span_the_radius(spark, monkeypatch, crowded):
+    if crowded:  # every block value with two prints is dealt again by finer keys
+        monkeypatch.setattr(op8_simhash, "GROUP_ROWS", 1)
+    rng, radius = random.Random(9), near_copies.RADIUS
+    prints = {rng.getrandbits(64) for _ in range(200)}
+    for fp in rng.sample(sorted(prints), 25):
+        for _ in range(12):  # chains, whose ends are further apart than the radius
+            for bit in rng.sample(range(64), rng.randint(1, radius + 2)):
+                fp ^= 1 << bit
+            prints.add(fp)
+    prints = sorted(prints)
+    signed = [(i, fp - (fp >> 63 << 64)) for i, fp in enumerate(prints)]
+    near = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= radius]
+    edges = [(r.u, r.v) for r in op8_simhash.near_links(spark.createDataFrame(signed, "node long, fp long"), radius, True).collect()]
+    assert near and all((prints[u] ^ prints[v]).bit_count() <= radius for u, v in edges)
+
+    def roots(links):
+        parent = op8_simhash.fold(np.arange(len(prints)), *(np.array(x) for x in zip(*links)))
+        return parent.tolist()
+
+    assert roots(edges) == roots(near)
+
+
+def test_texts_of_one_fingerprint_meet_in_a_star(spark):
+    lead = spark.createDataFrame([(n, n % 2 * 7) for n in range(40)], "node long, fp long")
+    pairs = sorted((r.u, r.v) for r in near_copies.simhash_links(lead).collect())
+    assert sorted(pairs) == sorted([(n, n % 2) for n in range(2, 40)] + [(1, 0)])
