@@ -1,15 +1,20 @@
-"""Helpers shared by the corpus operators: durable tables, size checks, samples."""
+"""Helpers shared by the corpus operators: durable tables, size checks, samples, lean Python functions."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only while its rows, at the stated width, stay under this.
 BROADCAST_BYTES = 32 << 20
+#: Rows that a Python function over Arrow batches works on, and gives back, at once.
+SLICE_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,10 +71,46 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def slices(batches):
+    """The rows of ``batches`` in batches of at most ``SLICE_ROWS``, so that what comes of them is small on both sides."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def lean(run):
+    """``run`` over Arrow batches; when it ends the worker returns the memory it freed to the machine.
+
+    Workers serve task after task, and without this each holds on to the most it ever took.
+    """
+
+    @functools.wraps(run)
+    def returning(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return returning
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def sent_text(docs: DataFrame, columns: list[str]) -> tuple[list, str]:
+    """What to send to a function that reads ``text`` and returns ``columns`` of ``docs``, and the name of the text there.
+
+    A text that is returned is not sent twice; nulls in it are the function's to read as empty.
+    """
+    if "text" in columns and dict(docs.dtypes)["text"] == "string":
+        return columns, "text"
+    return [*columns, text_or_empty().alias("__loom_text")], "__loom_text"
+
+
 def id_crc(column: str = "doc_id"):
     """crc32 of the id written in decimal; null ids count as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -97,5 +138,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows:
         if left[r["y"]] >= 0:
             chosen.append((r["doc_id"], r["y"]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    picked = texts.filter(F.octet_length("text") <= size // 100).join(F.broadcast(docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, y int")), "doc_id")
+    # From an Arrow table: a list would be sent through Python workers of a second kind on the executors.
+    learned = docs.sparkSession.createDataFrame(pa.table({"doc_id": [i for i, _ in chosen], "y": [y for _, y in chosen]}), f"doc_id {kind}, y int")
+    picked = texts.filter(F.octet_length("text") <= size // 100).join(F.broadcast(learned), "doc_id")
     return picked.groupBy("doc_id", "y").agg(F.min("text").alias("text")) if any(r["rows"] > 1 for r in found) else picked

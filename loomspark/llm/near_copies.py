@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, release
+from .common import broadcast_if_small, durable, lean, release
 from .components import components
 from .op8_simhash import SEED, majority, near_links
 
@@ -88,6 +88,7 @@ def _lists(held: list[np.ndarray]) -> pa.ListArray:
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """node and tokens of each row of ``docs`` (node, text)."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -129,6 +130,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, hits: np.ndarray) -> DataFrame
     """doc_id, key, digest (of the set), fp (the fingerprint), n (the set's size), bits and prefix of each row of ``docs`` (doc_id, key, text)."""
     held = docs.sparkSession.sparkContext.broadcast((common, hits))
 
+    @lean
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -220,6 +222,7 @@ def candidates(entries: DataFrame, rows: int, pairs, all_blocks: bool) -> DataFr
     """Pairs (u, v), u > v, of ``entries`` that ``pairs`` finds in the cells."""
     partitions = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
 
+    @lean
     def run(batches):
         parts = []
         for b in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable
+from .common import broadcast_if_small, durable, lean, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -68,8 +68,9 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str,
     """One row per piece: doc_id, piece, start, length, ids (binary: little-endian unsigned 32-bit)."""
     json_path, ranks_path = paths or default_paths()
 
+    @lean
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = ([], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.array([*encode_text(text.as_py() or "", json_path, ranks_path), END_ID], dtype="<u4")
@@ -176,6 +177,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.join(broadcast_if_small(before, sum(buckets), 24), ["length", BUCKET])
     columns = pieces.columns
 
+    @lean
     def place(batches):
         table = runs.value
         stride = int(table[:, 2].sum()) + 1

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, labelled_sample, text_or_empty
+from .common import id_crc, labelled_sample, lean, sent_text, slices
 
 #: Labelled pages of each class that learning reads, at most.
 SAMPLE_ROWS = 3000
@@ -197,14 +197,16 @@ def score(docs: DataFrame, model: ToxicityModel, columns: list[str], name: str =
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
+    read, text = sent_text(docs, columns)
 
+    @lean
     def run(batches):
-        for batch in batches:
-            scores = [score_text(t.as_py(), sent.value) for t in batch.column("__loom_text")]
+        for batch in slices(batches):
+            scores = [score_text(t.as_py(), sent.value) for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores, pa.float64())], [*columns, name])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"`{name}` double"])
-    return docs.select(*columns, text_or_empty().alias("__loom_text")).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(run, schema)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

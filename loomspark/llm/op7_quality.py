@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, labelled_sample, text_or_empty
+from .common import id_crc, labelled_sample, lean, sent_text, slices
 from .op3_toxicity import fit_logistic
 
 SAMPLE_ROWS = 8000
@@ -130,8 +130,9 @@ def fit(x: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> QualityModel:
 def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     keep = id_crc() % 5 != 0
 
+    @lean
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([statistics(t.as_py()) for t in b.column("text")], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     sample = labelled_sample(docs, labels, "quality", keep, sample_rows, SAMPLE_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
@@ -147,14 +148,16 @@ def score(docs: DataFrame, model: QualityModel, columns: list[str], name: str =
     columns = [c for c in columns if c != name]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
+    read, text = sent_text(docs, columns)
 
+    @lean
     def run(batches):
-        for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch.column("__loom_text")]).reshape(batch.num_rows, -1)
+        for batch in slices(batches):
+            x = np.array([statistics(t.as_py()) for t in batch.column(text)]).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sent.value.score(x), pa.float64())], [*columns, name])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"`{name}` double"])
-    return docs.select(*columns, text_or_empty().alias("__loom_text")).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(run, schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
