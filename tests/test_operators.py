@@ -93,3 +93,22 @@ def test_grouped_quantiles(spark):
     assert got.keys() == groups.keys()
     for g, xs in groups.items():
         assert np.allclose(got[g], np.quantile(xs, wanted), rtol=0, atol=1e-12), g
+
+
+def test_align_groups_of_all_shapes(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "MATRIX_CELLS", 100)
+    rng = np.random.default_rng(5)
+    grids = {k: np.round(rng.normal(size=(int(rng.integers(1, 9)), int(rng.integers(1, 12)))), 1) for k in [*range(60), None]}
+    cells = [(k, 10 * r, -t, float(x)) for k, g in grids.items() for r, line in enumerate(g) for t, x in enumerate(line[::-1])]
+    # Lesser doubles, cells that are missing, cells without a value, and a group that has none.
+    cells += [(k, r, t, x - 1) for k, r, t, x in cells[::7]] + [(0, 5, 5, float("nan")), (1, None, 0, 9.0), (2, 0, None, 9.0), (99, 0, 0, None), (99, 1, 1, float("nan"))]
+    cells += [(200, 0, 0, 1.0), (200, 0, 1, float("-inf")), (200, 1, 1, 1.0), (200, 1, 2, float("inf"))]
+    grids[200] = np.array([[1.0, np.nan_to_num(-np.inf), -1e9], [-1e9, 1.0, np.nan_to_num(np.inf)]])
+    df = spark.createDataFrame(cells, "k long, r int, t int, x double").repartition(5)
+    out = sequence.align_groups(df, "k", "r", "t", "x")
+    got = {}
+    for row in out.orderBy("k", "frame").collect():
+        got.setdefault(row.k, []).append(row.row)
+    assert got == {k: sequence.monotonic_path(g).tolist() for k, g in grids.items()}
+    # No call of Python for each group.
+    assert "InPandas" not in out._jdf.queryExecution().toString()
