@@ -128,3 +128,25 @@ def test_shard_of_a_table_in_parts(spark, tmp_path):
     for part, name in zip(parts, names):
         part.rename(folder / name)
     assert {r.shard for r in files.with_shard(files.parquet_folder(spark, str(folder)), str(folder)).select("shard").distinct().collect()} == set(names)
+
+
+def test_edit_distance(spark):
+    import random
+
+    from loomspark.plans import scoring
+
+    def plain(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(line[j] + 1, new[-1] + 1, line[j - 1] + (x != y)))
+            line = new
+        return line[-1]
+
+    draw = random.Random(1)
+    for k in range(3000):
+        a, b = ("".join(draw.choices(("ab", "abcde é")[k % 2], k=draw.randint(0, 70 if k % 50 == 0 else 9))) for _ in "ab")
+        assert sequence.edit_distance(a, b) == plain(a, b), (a, b)
+    # The score of a pair is not made again for every threshold.
+    assert "levenshtein" not in scoring.QUERIES["keep_rate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
