@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Dialect, catalogue
+from ..operators.corpus import register_text_counts
 from ..operators.quantiles import column_report, grouped_quantiles
 
 DURATION = "(1.0 + (doc_id * 37 % 390) / 10.0)"
@@ -21,12 +22,22 @@ LETTERS = "[^A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
 def manifest(d: Dialect) -> str:
-    """idx, shard, text, duration, n_chars, n_words, n_letters, rate, mos of every document."""
+    """idx, shard, text, duration, n_chars, n_words, n_letters, rate, mos of every document.
+
+    In Spark letters and words are counted in the bytes of a batch of texts at once: its regular expressions
+    make a copy of all letters and an array of all words.
+    """
+    chars, letters, words = d.long("length(body)"), d.long(f"length({d.sub('body', LETTERS, '')})"), d.matches("body", "[^ \t\n]+")
+    body = f"SELECT doc_id, source, coalesce(text, '') AS body, CAST({DURATION} AS DOUBLE) AS duration FROM {d.t('documents')}"
+    if d.session is not None:
+        # Below the join, which texts then need not pass.
+        body = f"SELECT *, {chars} AS chars, {register_text_counts(d.session)}(body) AS counts FROM ({body}) b"
+        chars, letters, words = "chars", "counts.letters", "counts.words"
     return f"""
         SELECT idx, shard, body, duration, n_chars, n_letters, n_words, mos, CASE WHEN duration > 0 THEN CAST(n_letters AS DOUBLE) / duration ELSE 0 END AS rate FROM (
-            SELECT x.doc_id AS idx, source AS shard, body, duration, {d.long('length(body)')} AS n_chars, {d.long(f"length({d.sub('body', LETTERS, '')})")} AS n_letters,
-                   {d.matches('body', '[^ \t\n]+')} AS n_words, CAST(2.5 + 0.5 * quality AS DOUBLE) AS mos
-            FROM (SELECT doc_id, source, coalesce(text, '') AS body, CAST({DURATION} AS DOUBLE) AS duration FROM {d.t('documents')}) x
+            SELECT x.doc_id AS idx, source AS shard, body, duration, {chars} AS n_chars, {letters} AS n_letters,
+                   {words} AS n_words, CAST(2.5 + 0.5 * quality AS DOUBLE) AS mos
+            FROM ({body}) x
             LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {d.t('labels')} GROUP BY doc_id) l ON x.doc_id = l.doc_id) r"""
 
 

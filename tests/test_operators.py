@@ -150,3 +150,22 @@ def test_edit_distance(spark):
         assert sequence.edit_distance(a, b) == plain(a, b), (a, b)
     # The score of a pair is not made again for every threshold.
     assert "levenshtein" not in scoring.QUERIES["keep_rate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_text_counts(spark, monkeypatch):
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from loomspark.plans import audit
+
+    monkeypatch.setattr(corpus, "COUNT_BYTES", 50)
+    draw = random.Random(2)
+    texts = ["".join(draw.choices("aZ09 \t\n\r ÀÖ×Øö÷øÿßÃ·—ا‌😀@[`{", k=draw.randint(0, 40))) for _ in range(400)] + ["", "", " ", "a", "é", "×", "x" * 300, " a", "b"]
+    letters, words = corpus.count_text(pa.array(["cut off", *texts], pa.string()).slice(1))
+    assert letters.tolist() == [len(re.sub(audit.LETTERS, "", t)) for t in texts]
+    assert words.tolist() == [len(re.findall("[^ \t\n]+", t)) for t in texts]
+    assert [len(x) for x in corpus.count_text(pa.array([], pa.string()))] == [0, 0]
+    for name in ("text_profile", "text_percentiles", "loader_filters"):
+        assert "regexp_" not in audit.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
