@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dialect import Dialect, catalogue
 from ..operators.corpus import register_text_counts
 from ..operators.quantiles import column_report, grouped_quantiles
+from .frontend import _folder
 
 DURATION = "(1.0 + (doc_id * 37 % 390) / 10.0)"
 HISTOGRAM_EDGES = (0, 0.5, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 60)
@@ -157,7 +158,10 @@ def text_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours, mean duration and medians by shard, the medians without an aggregate that holds a shard."""
-    rows = spark.sql(manifest(Dialect(True, sf_dir, spark)))
+    # Texts are read once: the passes go over four columns, written where all executors see them.
+    path = _folder(spark, "manifest")
+    spark.sql(manifest(Dialect(True, sf_dir, spark))).select("shard", "duration", "rate", "mos").write.parquet(path)
+    rows = spark.read.schema("shard string, duration double, rate double, mos double").parquet(path)
     plain = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration") / 3600, 6).alias("hours"), F.round(F.avg("duration"), 6).alias("mean_duration"))
     for name in ("rate", "mos"):
         median = grouped_quantiles(rows, "shard", name, [0.5]).withColumnRenamed("shard", "s")

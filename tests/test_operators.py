@@ -169,3 +169,10 @@ def test_text_counts(spark, monkeypatch):
     assert [len(x) for x in corpus.count_text(pa.array([], pa.string()))] == [0, 0]
     for name in ("text_profile", "text_percentiles", "loader_filters"):
         assert "regexp_" not in audit.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_audit_of_shards_reads_texts_once(spark):
+    from loomspark.plans import audit
+
+    plan = audit.audit_shards(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "documents.parquet" not in plan and "manifest-" in plan
