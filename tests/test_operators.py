@@ -176,3 +176,18 @@ def test_audit_of_shards_reads_texts_once(spark):
 
     plan = audit.audit_shards(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "documents.parquet" not in plan and "manifest-" in plan
+
+
+def test_assignment_is_bounded_in_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x, centroids = rng.integers(-3, 4, size=(4096, 8)).astype(float), rng.integers(-3, 4, size=(6000, 8)).astype(float)
+    tracemalloc.start()
+    cluster, confidence = clustering.nearest_centroids(x, centroids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All products together are 197 MB.
+    assert peak < 3 * 8 * clustering.ASSIGN_PRODUCTS
+    near = x @ centroids.T
+    assert (cluster == near.argmax(axis=1)).all() and (confidence == near.max(axis=1)).all()
